@@ -7,8 +7,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing
-from .common import importable, read
+from . import bpe, langid, mixing, toxicity
+from .common import held_out, importable, read
 
 _FOUND: dict = {}
 _SQL: dict[str, str] = {}
@@ -29,6 +29,14 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+@_query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(~held_out()))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages", "proportions")
+
+
 @_query("op6_byte_bpe")
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -36,6 +44,15 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@_query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    letters = toxicity.character_model(docs)
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels").where(~held_out()), letters)
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 @_query("op10_mix_sources", mixing.ORACLE)
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.systematic_copies(read(spark, sf_dir, "documents"))
