@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, toxicity
+from . import bpe, fingerprint, hosts, langid, mixing, toxicity, warc
 from .common import held_out, importable, read
 
 _FOUND: dict = {}
@@ -29,6 +29,17 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+@_query("op1_url_filter", hosts.ORACLE)
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(read(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
+@_query("op3_warc", warc.ORACLE)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.fetch(warc.write(read(spark, sf_dir, "pages")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @_query("op4_language_id")
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -44,6 +55,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@_query("op7_fingerprints", fingerprint.ORACLE)
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
+
+
 @_query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
