@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, hosts, langid, mixing, toxicity, warc
+from . import bpe, fingerprint, hosts, jaccard, langid, mixing, toxicity, warc
 from .common import held_out, importable, read
 
 _FOUND: dict = {}
@@ -69,6 +69,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+@_query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(read(spark, sf_dir, "documents"), width=4, part=85, whole=100)
+
+
 @_query("op10_mix_sources", mixing.ORACLE)
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.systematic_copies(read(spark, sf_dir, "documents"))
