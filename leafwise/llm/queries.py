@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, hosts, jaccard, langid, mixing, toxicity, warc
+from . import ann, bpe, fingerprint, hosts, jaccard, langid, mixing, toolcalls, toxicity, warc
 from .common import held_out, importable, read
 
 _FOUND: dict = {}
@@ -34,6 +34,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge(read(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
+@_query("op2_tool_calls", toolcalls.ORACLE)
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = read(spark, sf_dir, "conversations")
+    held, answers = toolcalls.extracted(messages)
+    calls, results = toolcalls.turns_as_calls(messages)
+    return toolcalls.link(held.unionByName(calls), answers.unionByName(results), toolcalls.REPLY)
+
+
 @_query("op3_warc", warc.ORACLE)
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.fetch(warc.write(read(spark, sf_dir, "pages")))
@@ -48,6 +56,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages", "proportions")
 
 
+@_query("op5_nearest_vectors")
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @_query("op6_byte_bpe")
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
