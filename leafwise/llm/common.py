@@ -65,3 +65,29 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def map_texts(docs: DataFrame, text_col: str, fields: str, make, keep: list[str] | None = None) -> DataFrame:
+    """Append columns that a Python function of the texts gives, in Arrow batches.
+
+    make() is called in the task and returns a function from a list of texts (null as empty) to a list of Arrow arrays, one a
+    field of `fields` (DDL). keep: the columns that stay, all by default. Fields should not clash with them, see unused().
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    stay = list(docs.columns) if keep is None else list(keep)
+    sent = docs.select(*[F.col(f"`{c}`") for c in stay], *([] if text_col in stay else [F.col(f"`{text_col}`")]))
+    added = T.StructType.fromDDL(fields)
+    at = sent.columns.index(text_col)
+
+    def run(batches):
+        from .bpe import parts_of
+
+        work = make()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for a, b in parts_of(texts, 1_000_000):
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(stay)], *work(texts[a:b])], names=[*stay, *added.names])
+
+    return sent.mapInArrow(run, T.StructType([*sent.schema.fields[: len(stay)], *added.fields]))

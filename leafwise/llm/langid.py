@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 BITS = 17
 ALPHA = 0.05
 #: At most so many labelled texts of each language are learned from, those with the smallest hash of their id.
@@ -160,29 +162,23 @@ def learn(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return Model(languages, table.astype(np.float32))
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, lang_pred, score, languages, proportions, and the columns in keep; one row per row of docs.
+def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str, str, str] = ("lang_pred", "score", "languages", "proportions")) -> DataFrame:
+    """The columns in keep (all by default) with the predicted language, its score, the language set and its proportions.
 
     A text that is null or has no letters is `und` with score 0, as is every text if nothing was learned. The score is
     the proportion of the predicted language and, where it stands alone, its posterior. Ties go to the language
-    that sorts first.
+    that sorts first. Rows are independent: repeated rows get repeated results, an empty table an empty one.
     """
     import pyarrow as pa
 
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c) for c in keep])
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields if f.name != "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        from .bpe import parts_of
+    def make():
+        def work(texts: list[str]) -> list[pa.Array]:
+            lang, score, langs, shares = zip(*infer(texts, shared.value), strict=True)
+            return [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
 
-        learned = shared.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            rest = batch.drop_columns(["text"])
-            for a, b in parts_of(texts, CHARS_AT_ONCE):
-                lang, score, langs, shares = zip(*infer(texts[a:b], learned), strict=True)
-                columns = [*rest.slice(a, b - a).columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*rest.schema.names, "lang_pred", "score", "languages", "proportions"])
-
-    return chosen.mapInArrow(run, f"{kept}, lang_pred string, score double, languages array<string>, proportions array<double>")
+        return work
+
+    kinds = ("string", "double", "array<string>", "array<double>")
+    return map_texts(docs, text_col, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), make, keep)

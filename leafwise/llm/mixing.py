@@ -63,12 +63,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
 def systematic_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                       weights: tuple[int, ...] = (1, 2, 3), seed: str = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, copies.
+    """One row per document: id, source, mark (hash of the text), size, source_size, target, copies.
 
     Null texts have size 0; documents of a source of size 0 are taken 0 times. Rows that repeat an id count as
     documents of their own. A null source is a source. An empty table gives an empty result.
     """
-    slim = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+    slim = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("mark")), "mix-sizes")
     cls = F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0)
     slim = slim.withColumn("cls", cls)
     classes = written(slim.groupBy("source", "cls").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")), "mix-classes")
@@ -91,19 +91,19 @@ def systematic_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rank = (F.col("before") + F.col("nth")).cast("double")
     crossed = lambda n: F.floor(F.col("target") * n / F.col("source_size") + offset)
     copies = F.when(F.col("source_size") > 0, F.least(crossed(rank) - crossed(rank - 1), F.lit(MOST_COPIES))).otherwise(0).cast("long")
-    return slim.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: each row of docs as often as it is taken, with docs' columns. Ids should be unique: rows
-    that share an id and a size are each taken as often as one of them. Rows without an id are not taken."""
-    taken = systematic_copies(docs, **options).select("doc_id", "copies").where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    (key, n) = unused(docs, "mix_id", "mix_copies")
-    taken = taken.select(F.col("doc_id").alias(key), F.col("copies").alias(n))
-    id_col = options.get("id_col", "doc_id")
-    joined = docs.join(taken, docs[id_col] == taken[key])
-    out = joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias(n))
-    return out.drop(n)
+    return slim.select("doc_id", "source", "mark", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed documents: each row of docs as often as it is taken, with docs' columns. Rows that share id, source and
+    text are each taken as often as the one of them that is taken most."""
+    copies = systematic_copies(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
+    key, source, mark, n = unused(docs, "mix_id", "mix_source", "mix_mark", "mix_copies")
+    copies = copies.groupBy(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("mark").alias(mark)).agg(F.max("copies").alias(n))
+    same = docs[id_col].eqNullSafe(copies[key]) & docs[source_col].eqNullSafe(copies[source]) & F.xxhash64(docs[text_col]).eqNullSafe(copies[mark])
+    joined = docs.join(copies.hint("shuffle_hash"), same)
+    out = joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias(key))
+    return out.drop(key)
 
 
 ORACLE = r"""

@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import ann, bpe, fingerprint, hosts, jaccard, langid, mixing, toolcalls, toxicity, warc
 from .common import held_out, importable, read
 
@@ -52,7 +54,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.learn(docs.where(~held_out()))
-    found = langid.identify(docs.select("doc_id", "text"), model)
+    found = langid.identify(docs, model, keep=["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages", "proportions")
 
 
@@ -78,13 +80,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     letters = toxicity.character_model(docs)
     model = toxicity.learn(docs, read(spark, sf_dir, "labels").where(~held_out()), letters)
-    scored = toxicity.score_documents(docs, model)
+    scored = toxicity.score_documents(docs, model, keep=["doc_id"])
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 @_query("op9_jaccard_join")
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.classes(read(spark, sf_dir, "documents"), width=4, part=85, whole=100)
+    found = jaccard.classes(read(spark, sf_dir, "documents"), width=4, part=85, whole=100)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @_query("op10_mix_sources", mixing.ORACLE)
@@ -93,6 +96,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@_query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return dict(_FOUND)
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_texts, written
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
@@ -247,17 +247,20 @@ def learn(docs: DataFrame, labels: DataFrame, letters: np.ndarray, *, id_col: st
     return Model(letters, base, {r["feature"]: (min(1.0, r["bad"] / toxic), (r["good"] + 0.1) / words_read) for r in best.collect()})
 
 
-def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, predicted; one row per row of docs. A null text is read as an empty one, which gets the base score."""
+def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns in keep (all by default) with score and prediction. A null text is read as an empty one, which
+    gets the base score. Rows are independent: repeated rows get repeated results, an empty table an empty one."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def make():
         scorer = Scorer(shared.value)
-        for batch in batches:
-            scores = [scorer.score(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+        def work(texts: list[str]) -> list[pa.Array]:
+            scores = [scorer.score(t) for t in texts]
+            return [pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())]
+
+        return work
+
+    return map_texts(docs, text_col, f"{names[0]} double, {names[1]} int", make, keep)
