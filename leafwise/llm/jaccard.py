@@ -26,26 +26,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import parts_of
-from .common import written
+from .common import WORD, unused, written
 
 COUNTERS, CHUNK = 1 << 20, 1 << 16
-WORDS_KEPT = 500_000
-CHARS_AT_ONCE = 2_000_000
+NODES_KEPT = 500_000
+CHARS_AT_ONCE, BYTES_AT_ONCE = 2_000_000, 4 << 20
 TILE = 512
 #: Candidates of a centre that one task verifies.
 SPREAD = 64
-
-
-class _Words(dict):
-    """Word -> 64-bit hash, the same on all machines."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+#: Rounds with a middle node for centre, after the first and before all pairs across components.
+STARS = 2
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -54,17 +44,77 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, width: int, cache: _Words) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a text, A-Z lower-cased; a text of fewer words is one shingle."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    size = min(width, len(words))
-    out = np.full(len(codes) - size + 1, size, np.uint64)
-    for i in range(size):
-        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + codes[i : len(codes) - size + 1 + i])
-    return np.unique(out)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_ORDER = _mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+_POWERS = [np.cumprod(np.full(64, 0xF1357AEA2E62A9C5, np.uint64))]
+
+
+def _hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of each word, by its bytes and their places, and where it starts."""
+    text = np.frombuffer(raw, np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[text], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, length = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    while length.max() > len(_POWERS[0]):
+        _POWERS[0] = np.cumprod(np.full(max(int(length.max()), 2 * len(_POWERS[0])), 0xF1357AEA2E62A9C5, np.uint64))
+    first = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(first, length)
+    value = _BYTE[text[inside[1:-1]]] * _POWERS[0][place]
+    return _mixed(np.add.reduceat(value, first) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts
+
+
+def _shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each run of `size` words."""
+    n = len(words) - size + 1
+    total = words[:n] * _ORDER[0]
+    for i in range(1, size):
+        total = total + words[i : n + i] * _ORDER[i]
+    return _mixed(total + np.uint64(size))
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its word shingles, A-Z lower-cased; a text of fewer words is one
+    shingle, one without words has none. Texts are hashed together, a very long one in stretches that end at spaces."""
+    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
+    raws = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
+    for a, b in parts_of(raws, BYTES_AT_ONCE):
+        if b - a == 1 and len(raws[a]) > BYTES_AT_ONCE:
+            raw, at, found = raws[a], 0, []
+            while at < len(raw):
+                cut = at + BYTES_AT_ONCE
+                while cut < len(raw) and not _SPACE[raw[cut]]:
+                    cut += 1
+                found.append(_hashed_words(raw[at:cut])[0])
+                at = cut
+            words, count = np.concatenate(found), np.array([sum(map(len, found))])
+        else:
+            words, starts = _hashed_words(b" ".join(raws[a:b]))
+            ends = np.cumsum([len(r) + 1 for r in raws[a:b]])
+            count = np.diff(np.searchsorted(starts, ends), prepend=0)
+        whole = _shingles(words, width) if len(words) >= width else np.zeros(0, np.uint64)
+        at = 0
+        for k, n in enumerate(count.tolist()):
+            if n >= width:
+                out[a + k] = _distinct(whole[at : at + n - width + 1])
+            elif n:
+                out[a + k] = _shingles(words[at : at + n], n)
+            at += n
+    return out
+
+
+def node_of(found: np.ndarray) -> int:
+    """The id of a set: a hash of its elements."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
 
 def band(n: int) -> int:
@@ -73,7 +123,7 @@ def band(n: int) -> int:
 
 def sketch(found: np.ndarray) -> bytes:
     """The small parity sketch; its size depends on the band, and a larger one folds to a smaller."""
-    bits = max(64, 1 << band(len(found)))
+    bits = max(64, 4 << band(len(found)))
     parity = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
@@ -135,11 +185,15 @@ def pieces(sets: list[np.ndarray], counts: np.ndarray, measure: Measure) -> tupl
     key = _mixed(key + _mixed(place.astype(np.uint64) * np.uint64(64) + np.array(bands, np.uint64)[entry]))
     # Empty pieces are the commonest of all; a set files some only if it has not enough others.
     some = np.bincount(entry, minlength=len(who))
+    entries, keys, rares = [entry], [key], [rare.astype(np.int64)]
+    ends = np.cumsum(some)
     for e in np.flatnonzero(some < np.array(keep)).tolist():
-        empty = np.setdiff1d(np.arange(width[e]), place[entry == e])
+        empty = np.setdiff1d(np.arange(width[e]), place[ends[e] - some[e] : ends[e]])
         more = np.sort(_mixed(_mixed(empty.astype(np.uint64) * np.uint64(64) + np.uint64(bands[e]))))[: keep[e] - some[e]]
-        entry, key = np.append(entry, np.full(len(more), e)), np.append(key, more)
-        rare = np.append(rare.astype(np.int64), np.full(len(more), 1 << 40))
+        entries.append(np.full(len(more), e))
+        keys.append(more)
+        rares.append(np.full(len(more), 1 << 40))
+    entry, key, rare = np.concatenate(entries), np.concatenate(keys), np.concatenate(rares)
     order = np.lexsort((key, rare, entry))
     entry, key = entry[order], key[order]
     first = np.searchsorted(entry, np.arange(len(who)))
@@ -150,27 +204,22 @@ def pieces(sets: list[np.ndarray], counts: np.ndarray, measure: Measure) -> tupl
 def _prepared(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, mark (of the text), n, node (id of the set), sketch of each document; and in rows of their own the counts of all elements, in chunks."""
     import pyarrow as pa
-    import xxhash
 
     names = ["doc_id", "mark", "n", "node", "sketch", "chunk", "counts"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches):
-        cache, counts, any_ = _Words(), np.zeros(COUNTERS, np.uint32), False
+        counts, any_ = np.zeros(COUNTERS, np.int64), False
         for batch in batches:
             ids, marks, texts = (batch.column(c).to_pylist() for c in range(3))
             for a, b in parts_of([t or "" for t in texts], CHARS_AT_ONCE):
-                rows = []
-                for doc_id, mark, text in zip(ids[a:b], marks[a:b], texts[a:b], strict=True):
-                    found = shingle_set(text, width, cache)
-                    if len(found):
-                        any_ = True
-                        np.add.at(counts, (found >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1), 1)
-                        node = np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64)
-                        rows.append((doc_id, mark, len(found), int(node), sketch(found), None, None))
-                    else:
-                        rows.append((doc_id, mark, 0, None, None, None, None))
+                sets = shingle_sets(texts[a:b], width)
+                every = np.concatenate(sets)
+                any_ = any_ or len(every) > 0
+                counts += np.bincount((every >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1), minlength=COUNTERS)
+                rows = [(doc_id, mark, len(x), node_of(x) if len(x) else None, sketch(x) if len(x) else None, None, None) for doc_id, mark, x in zip(ids[a:b], marks[a:b], sets, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        counts = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
         if any_:
             for i in range(COUNTERS // CHUNK):
                 row = (None, None, None, None, None, i, counts[i * CHUNK : (i + 1) * CHUNK].tobytes())
@@ -198,28 +247,21 @@ def _total_counts(chunks: DataFrame) -> np.ndarray:
 def _filed(docs: DataFrame, counts: np.ndarray, width: int, measure: Measure) -> DataFrame:
     """(key, node): the pieces of each set, once for each task that meets it."""
     import pyarrow as pa
-    import xxhash
 
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
-        cache, met = _Words(), set()
+        met: set[int] = set()
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in parts_of(texts, CHARS_AT_ONCE):
-                sets, nodes = [], []
-                for text in texts[a:b]:
-                    found = shingle_set(text, width, cache)
-                    node = int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
-                    if len(found) and node not in met:
-                        met.add(node)
-                        sets.append(found)
-                        nodes.append(node)
-                if len(met) > WORDS_KEPT:
+                new = {node: x for x in shingle_sets(texts[a:b], width) if len(x) and (node := node_of(x)) not in met}
+                met.update(new)
+                if len(met) > NODES_KEPT:
                     met.clear()
-                if sets:
-                    who, key = pieces(sets, shared.value, measure)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array(nodes, np.int64)[who])], names=["key", "node"])
+                if new:
+                    who, key = pieces(list(new.values()), shared.value, measure)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array(list(new), np.int64)[who])], names=["key", "node"])
 
     return docs.select("text").mapInArrow(run, "key long, node long")
 
@@ -259,11 +301,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, m
     dealt = dealt.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        cache, centre, own = _Words(), None, np.zeros(0, np.uint64)
+        centre, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             links = []
-            for a, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text")), strict=True):
-                found = shingle_set(text, width, cache)
+            a_s, b_s, texts = (batch.column(c).to_pylist() for c in ("a", "b", "text"))
+            found_sets = (x for i, j in parts_of(texts, CHARS_AT_ONCE) for x in shingle_sets(texts[i:j], width))
+            for a, b, found in zip(a_s, b_s, found_sets, strict=True):
                 if b is None:
                     centre, own = a, found
                     continue
@@ -297,6 +340,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label): the groups that hold more than one component."""
+    labelled = shared.select("key", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return labelled.join(mixed, "key", "left_semi")
+
+
 def _across(rest: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
     """Pairs (a, b) of different components in one group whose sketches allow a link. rest: (key, node, label).
 
@@ -332,6 +382,15 @@ def _across(rest: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
 
     def run(batches):
         block: list[tuple] = []
+        told: set[tuple[int, int]] = set()
+
+        def once(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+            new = {x for x in links if x not in told}
+            if len(told) > NODES_KEPT:
+                told.clear()
+            told.update(new)
+            return sorted(new)
+
         for batch in batches:
             links = []
             for row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True):
@@ -339,17 +398,18 @@ def _across(rest: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
                     links += found(block)
                     block = []
                 block.append(row)
-            if links:
+            if links := once(links):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
-        if block and (links := found(block)):
+        if block and (links := once(found(block))):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, *, width: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of docs; documents whose shingle sets have a Jaccard measure of
-    part / whole or more are linked, component_id is the smallest id that links reach.
+    """doc_id, n_shingles, component_id, mark, label: one row per row of docs; documents whose shingle sets have a Jaccard measure of
+    part / whole or more are linked, component_id is the smallest id that links reach. mark is a hash of the text, label
+    names the component where ids repeat; it is null for an empty set.
 
     A text that is null or has no words has an empty set and is linked with nothing. Rows that repeat an id or a text
     are nodes with equal sets. Rows without an id have the component of their text. Ids are integers.
@@ -365,16 +425,47 @@ def classes(docs: DataFrame, *, width: int = 5, part: int = 80, whole: int = 100
     centred = filed.withColumn("centre", F.min("node").over(group)).withColumn("last", F.max("node").over(group))
     shared = written(centred.where("centre <> last").select("key", "node", "centre"), "jaccard-groups")
     star = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    star = written(star, "jaccard-star")
+    tried = star = written(star, "jaccard-star")
     links = _verified(_tested(star, nodes, measure), nodes, docs, width, measure)
-    labels = written(components(links), "jaccard-first")
-    labelled = shared.select("key", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rest = labelled.join(mixed, "key", "left_semi")
-    across = _across(rest, nodes, measure).distinct().join(star, ["a", "b"], "left_anti")
-    more = _verified(across, nodes, docs, width, measure)
-    labels = written(components(links.union(more)), "jaccard-second") if not more.isEmpty() else labels
+    labels = written(components(links), "jaccard-labels")
+    for _ in range(STARS):
+        rest = written(_unsettled(shared, labels), "jaccard-rest")
+        # The node that most of these groups hold is the likeliest middle of its kin.
+        known = rest.groupBy("node").agg(F.count(F.lit(1)).alias("groups"))
+        ranked = rest.join(known, "node").withColumn("rank", F.struct("groups", "node"))
+        middle = ranked.groupBy("key").agg(F.max(F.struct("rank", "label")).alias("m")).select("key", F.col("m.rank.node").alias("a"), F.col("m.label").alias("a_label"))
+        star = rest.join(middle, "key").where("label <> a_label").select("a", F.col("node").alias("b")).distinct()
+        star = written(_tested(star, nodes, measure).join(tried, ["a", "b"], "left_anti"), "jaccard-star")
+        more = _verified(star, nodes, docs, width, measure)
+        tried = tried.union(star)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        labels = written(components(links), "jaccard-labels")
+    across = _across(_unsettled(shared, labels), nodes, measure).distinct()
+    both = tried.union(tried.select("b", "a"))
+    more = _verified(across.join(both, ["a", "b"], "left_anti"), nodes, docs, width, measure)
+    labels = written(components(links.union(more)), "jaccard-labels") if not more.isEmpty() else labels
     best = labels.join(nodes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("least"))
-    reach = labels.join(best, "label").select("node", "least")
-    known = nodes.select("node", "doc_id").join(reach, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component"))
-    return slim.select("doc_id", F.col("n").alias("n_shingles"), "node").join(known, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    reach = labels.join(best, "label").select("node", "least", "label")
+    known = nodes.select("node", "doc_id").join(reach, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component"), F.coalesce("label", "node").alias("label"))
+    rows = slim.select("doc_id", "mark", F.col("n").alias("n_shingles"), "node").join(known, "node", "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "mark", "label")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay when one document of each class stays: the one with the smallest id (a null id is the
+    smallest), of equal ids that with the smallest hash, of equal rows one. Texts without words all stay."""
+    found = written(classes(docs, id_col=id_col, text_col=text_col, **options), "jaccard-classes")
+    best = found.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("best")).select("best.*")
+    stay = best.unionByName(found.where("label IS NULL").select("doc_id", "mark")).distinct()
+    own, mark, nth = unused(docs, "stay_id", "stay_mark", "stay_nth")
+    stay = stay.select(F.col("doc_id").alias(own), F.col("mark").alias(mark))
+    same = docs[id_col].cast("long").eqNullSafe(stay[own]) & F.xxhash64(docs[text_col]).eqNullSafe(stay[mark])
+    kept = docs.join(stay.hint("shuffle_hash"), same)
+    rows, names = found.where("label IS NOT NULL").agg(F.count(F.lit(1)), F.countDistinct(F.struct("doc_id", "mark"))).first()
+    if rows > names:
+        worded = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+        order = Window.partitionBy(own, mark).orderBy(*[c for c in docs.columns if c != text_col])
+        kept = kept.withColumn(nth, F.row_number().over(order)).where((F.col(nth) == 1) | ~worded)
+    return kept.select(*[docs[c] for c in docs.columns])
