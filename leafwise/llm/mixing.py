@@ -5,7 +5,7 @@ one order; their expected copies are summed along it, one random offset of the s
 emitted once for each integer boundary that its stretch crosses. Copies thus differ by less than one
 from what is expected, and as the order follows the size, the words taken follow the target.
 
-The prefix sum is distributed: documents fall into cells of a few ten thousand (source, size class, hash), a window
+The prefix sum is distributed: documents fall into cells of a few thousand (source, size class, hash), a window
 numbers them inside a cell, and the counts of the cells before it are added. No task holds a source.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import WORD, unused, written
 
 SEED = "mix"
-CELL_ROWS = 50_000
+CELL_ROWS = 4_096
 MOST_COPIES = 3
 
 
@@ -126,7 +126,7 @@ t AS (
 ), c AS (
   SELECT d.*, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS cls FROM d
 ), p AS (
-  SELECT source, cls, ceil(count(*) / 50000.0)::BIGINT AS parts FROM c GROUP BY ALL
+  SELECT source, cls, ceil(count(*) / 4096.0)::BIGINT AS parts FROM c GROUP BY ALL
 ), r AS (
   SELECT c.doc_id, c.size, t.source, t.source_size, t.target,
     row_number() OVER (PARTITION BY c.source ORDER BY c.cls, ('0x' || substr(md5('mix' || c.doc_id::VARCHAR), 1, 8))::BIGINT % p.parts, c.size, c.doc_id)::DOUBLE AS n,
