@@ -78,7 +78,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENT_LOG = """
-log AS (SELECT user_id AS judge, event_id AS call_no, epoch_ms(ts) AS ts_ms, event_type <> 'error' AS ok, event_type AS kind, value AS ms,
+log AS (SELECT user_id AS judge, event_id AS call_no, (epoch_us(ts) // 1000)::BIGINT AS ts_ms, event_type <> 'error' AS ok, event_type AS kind, value AS ms,
   CASE WHEN value >= 10 THEN json_extract_string(props, '$.k')::BIGINT END AS input_tokens FROM events)
 """
 
