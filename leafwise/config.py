@@ -16,7 +16,7 @@ PLAN_REASONS = ("low_confidence", "text_layer", "scanned", "mixed_split", "mixed
 BYPASS_REASONS = ("not_pdf", "oversize", "image", "classifier_unavailable")
 JUDGES = ("heuristic", "jev", "jev_gated")
 FAILURES = {"timeout": "jev_fallback_timeout", "http": "jev_fallback_http", "protocol": "jev_fallback_protocol", "breaker_open": "jev_fallback_breaker_open"}
-GATED_REASON = "jev_gated_skip"
+GATED_REASON, ASKED_NEEDS, ASKED_CLEAR = "jev_not_escalated", "jev_needs_ocr", "jev_clear"
 MIN_CONFIDENCE, MAX_DOCUMENT_BYTES, FETCH_TIMEOUT_SECONDS = 0.6, 50 * 1024 * 1024, 20.0
 LOCAL_MODEL, STANDARD_MODEL = "local_pdf/extract", "mistral-ocr"
 LEG_FAILED, BYPASS_TIER = "leg_failed", "bypass"

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import FAILURES, GATED_REASON, JUDGES
+from ..config import ASKED_CLEAR, ASKED_NEEDS, FAILURES, GATED_REASON, JUDGES
 
 # The limits of a judge's request.
 MAX_TEXT_CHARS, MAX_PAGES, MAX_BYTES = 2_000, 50, 262_144
@@ -101,7 +101,7 @@ def settled(evidence: DataFrame, answers: DataFrame, *, gated: bool = False, str
     use = ~F.col("clear") & F.col("lost").isNull()
     return out.select(
         "doc_id", "page", F.when(use, F.col("asked_needs")).otherwise(F.col("needs_ocr")).alias("needs_ocr"), F.when(use, F.col("asked_sure")).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(F.col("clear"), GATED_REASON).when(F.col("lost").isNotNull(), failure_reason(F.col("lost"))).otherwise(F.when(F.col("asked_needs"), "jev_needs_ocr").otherwise("jev_clear")).alias("reason"),
+        F.when(F.col("clear"), GATED_REASON).when(F.col("lost").isNotNull(), failure_reason(F.col("lost"))).otherwise(F.when(F.col("asked_needs"), ASKED_NEEDS).otherwise(ASKED_CLEAR)).alias("reason"),
     )
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import FAILURES, GATED_REASON, VARIANTS, Config, Models
+from ..config import ASKED_CLEAR, ASKED_NEEDS, FAILURES, GATED_REASON, JUDGES, VARIANTS, Config, Models
 from ..functions import columns as C
 from ..operators import bench, evidence, execution, judges, policy, scoring
 from ..sources import adapters as A
 from .registry import query
 
 PRICE, PER_MILLION = 0.002, 0.042
+FAILED_REASONS = tuple(FAILURES.values())
+HOSTED = JUDGES[1]
 DOCS, PAGES = f"WITH {A.LINE_DOCS.strip()}\n", f"WITH {A.LINE_PAGES.strip()}\n"
 LABEL = "CASE WHEN page_count = 0 THEN reported WHEN len(flagged) = 0 THEN 'text_based' WHEN len(flagged) >= page_count THEN reported ELSE 'mixed' END"
 
@@ -162,7 +164,7 @@ j AS (SELECT p.doc_id, p.page, p.flagged, w.reason AS own, least(greatest(a.prob
   FROM pgs p JOIN amb USING (doc_id) LEFT JOIN why w ON w.doc_id = p.doc_id AND w.page = p.page LEFT JOIN ans a ON a.doc_id = p.doc_id AND a.page = p.page LEFT JOIN f ON f.doc_id = p.doc_id)
 SELECT doc_id, page, CASE WHEN NOT clear AND lost IS NULL THEN prob >= 0.5::FLOAT ELSE flagged END AS needs_ocr,
   (CASE WHEN NOT clear AND lost IS NULL THEN CASE WHEN prob >= 0.5::FLOAT THEN prob ELSE 1::FLOAT - prob END ELSE 1.0 END)::FLOAT AS confidence,
-  CASE WHEN clear THEN '{GATED_REASON}' WHEN lost IS NOT NULL THEN {why} WHEN prob >= 0.5::FLOAT THEN 'jev_needs_ocr' ELSE 'jev_clear' END AS reason FROM j""" + (" WHERE clear OR lost IS NULL" if strict else "")
+  CASE WHEN clear THEN '{GATED_REASON}' WHEN lost IS NOT NULL THEN {why} WHEN prob >= 0.5::FLOAT THEN '{ASKED_NEEDS}' ELSE '{ASKED_CLEAR}' END AS reason FROM j""" + (" WHERE clear OR lost IS NULL" if strict else "")
 
 
 @query("fallback_relabel", _settled_sql(False, False))
@@ -180,16 +182,16 @@ def strict_verdicts(spark, sf_dir):
     return judges.settled(A.line_evidence(spark, sf_dir), A.probabilities(spark, sf_dir), strict=True)
 
 
-@query("fallback_counts", f"SELECT reason, count(*)::BIGINT AS pages FROM ({_settled_sql(True, False)}) v WHERE reason LIKE 'jev_fallback%' GROUP BY reason")
+@query("fallback_counts", f"SELECT reason, count(*)::BIGINT AS pages FROM ({_settled_sql(True, False)}) v WHERE reason IN {FAILED_REASONS} GROUP BY reason")
 def fallback_counts(spark, sf_dir):
     return judges.fallback_counts(gated_relabel(spark, sf_dir))
 
 
-@query("fallback_note", f"SELECT 'judge `jev` fell back to the heuristic: ' || string_agg(pages || ' page(s) ' || reason, ', ' ORDER BY reason) AS note FROM (SELECT reason, count(*) AS pages FROM ({_settled_sql(True, False)}) v WHERE reason LIKE 'jev_fallback%' GROUP BY reason) c HAVING count(*) > 0")
+@query("fallback_note", f"SELECT 'judge `{HOSTED}` fell back to the heuristic: ' || string_agg(pages || ' page(s) ' || reason, ', ' ORDER BY reason) AS note FROM (SELECT reason, count(*) AS pages FROM ({_settled_sql(True, False)}) v WHERE reason IN {FAILED_REASONS} GROUP BY reason) c HAVING count(*) > 0")
 def fallback_note(spark, sf_dir):
     parts = fallback_counts(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("reason", "pages"))).alias("p")).where("size(p) > 0")
     text = F.array_join(F.transform("p", lambda x: F.concat(x["pages"].cast("string"), F.lit(" page(s) "), x["reason"])), ", ")
-    return parts.select(F.concat(F.lit("judge `jev` fell back to the heuristic: "), text).alias("note"))
+    return parts.select(F.concat(F.lit(f"judge `{HOSTED}` fell back to the heuristic: "), text).alias("note"))
 
 
 @query("answer_match", """WITH a AS (SELECT event_id, event_id % 5 AS k, value FROM events)
@@ -622,9 +624,9 @@ def brier_degenerate(spark, sf_dir):
 # --- bench and report
 
 
-@query("judge_by_document", f"{DOCS} SELECT doc_id, j.judge FROM docs, (VALUES ('heuristic'), ('jev')) AS j(judge)")
+@query("judge_by_document", f"{DOCS} SELECT doc_id, j.judge FROM docs, (VALUES ('heuristic'), ('{HOSTED}')) AS j(judge)")
 def judge_by_document(spark, sf_dir):
-    names = spark.createDataFrame([("heuristic",), ("jev",)], "judge string")
+    names = spark.createDataFrame([("heuristic",), (HOSTED,)], "judge string")
     return bench.every_judge(A.line_docs(spark, sf_dir).select("doc_id"), names)
 
 
@@ -698,9 +700,9 @@ def sources_block(spark, sf_dir):
     return g.select("source", "documents", scoring.pages().alias("pages"), "missed_ocr", "wasted_ocr", F.concat_ws("/", F.col("exact").cast("string"), F.col("documents").cast("string")).alias("exact"))
 
 
-@query("judge_names", "SELECT string_agg(CASE WHEN n = 'heuristic' THEN n || ' (baseline)' ELSE n END, ', ' ORDER BY i) AS names FROM (VALUES (0, 'heuristic'), (1, 'jev'), (2, 'jev_gated')) AS v(i, n)")
+@query("judge_names", "SELECT string_agg(CASE WHEN n = 'heuristic' THEN n || ' (baseline)' ELSE n END, ', ' ORDER BY i) AS names FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(JUDGES)) + ") AS v(i, n)")
 def judge_names(spark, sf_dir):
-    names = spark.createDataFrame([(0, "heuristic"), (1, "jev"), (2, "jev_gated")], "i int, n string")
+    names = spark.createDataFrame(list(enumerate(JUDGES)), "i int, n string")
     shown = F.when(F.col("n") == bench.BASELINE, F.concat("n", F.lit(" (baseline)"))).otherwise(F.col("n"))
     return names.agg(F.array_sort(F.collect_list(F.struct("i", shown.alias("s")))).alias("p")).select(F.array_join(F.transform("p", lambda x: x["s"]), ", ").alias("names"))
 

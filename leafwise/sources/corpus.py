@@ -14,8 +14,8 @@ from ..functions import columns as C
 MANIFEST = "documents ARRAY<STRUCT<file STRING, source STRING, page_count INT, needs_ocr ARRAY<INT>, note STRING>>"
 TRUTH = "schema STRING, document STRING, page_count INT, needs_ocr ARRAY<INT>, pages MAP<STRING, STRUCT<needs_ocr BOOLEAN, trap STRING, kind STRING, why STRING, text STRING, text_layer STRING>>"
 KEYS = {"file", "source", "page_count", "needs_ocr", "note"}
-#: Where an API key may stand besides a flag, first to last.
-KEY_VARIABLES = ("LITELLM_API_KEY", "OPENAI_API_KEY")
+# Where an API key may stand besides a flag, first to last.
+KEY_VARIABLES = ("LITELLM_API_KEY", "LITELLM_PROXY_API_KEY")
 
 
 class CorpusError(ValueError):

@@ -155,7 +155,7 @@ def test_environment_files():
 
 
 def test_judge_registry():
-    assert bench.judge_list(["jev", "heuristic"], judges.registry()) == (["heuristic"], [("jev", "no API key")])
+    assert bench.judge_list([conf.JUDGES[1], "heuristic"], judges.registry()) == (["heuristic"], [(conf.JUDGES[1], "no API key")])
     with pytest.raises(KeyError):
         judges.by_name("nobody")
     assert judges.threshold(math.nan) == 0.5 and judges.threshold(7) == 1.0
