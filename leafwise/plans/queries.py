@@ -610,9 +610,10 @@ def reliability(spark, sf_dir):
     return scoring.reliability(_judged(spark, sf_dir))
 
 
-@query("brier", f"{JUDGED} SELECT count(*)::BIGINT AS verdicts, count(DISTINCT confidence)::BIGINT AS distinct_confidences, false AS degenerate, NULL::FLOAT AS constant, avg((confidence::DOUBLE - right_::INTEGER::DOUBLE) * (confidence::DOUBLE - right_::INTEGER::DOUBLE)) AS brier FROM jd")
+@query("brier", f"{JUDGED} SELECT count(*)::BIGINT AS verdicts, count(DISTINCT confidence)::BIGINT AS distinct_confidences, false AS degenerate, NULL::FLOAT AS constant, round(avg((confidence::DOUBLE - right_::INTEGER::DOUBLE) * (confidence::DOUBLE - right_::INTEGER::DOUBLE)), 10) AS brier FROM jd")
 def brier(spark, sf_dir):
-    return scoring.brier(_judged(spark, sf_dir))
+    # Rounded, as the order of summing moves the last digits.
+    return scoring.brier(_judged(spark, sf_dir)).withColumn("brier", F.round("brier", 10))
 
 
 @query("brier_degenerate", f"{PAGES} SELECT count(*)::BIGINT AS verdicts, 1::BIGINT AS distinct_confidences, true AS degenerate, 1.0::FLOAT AS constant, NULL::DOUBLE AS brier FROM pgs")
