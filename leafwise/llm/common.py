@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -55,6 +57,12 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def share_of_ids(doc_id: Column | str, share: Column | float) -> Column:
+    """Whether the hash of an id falls under a share of all hashes: a sample that needs no sort and is the same each time."""
+    col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.pmod(F.xxhash64(col), F.lit(1 << 30)) < (F.lit(share) if isinstance(share, float) else share) * (1 << 30)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until none clashes with a column of df."""
     taken = {c.lower() for c in df.columns}
@@ -67,6 +75,25 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def tidy(run):
+    """A function of batches whose task gives its memory back at its end: Python workers live on, and what they hold
+    besides the JVM counts as the executor's."""
+
+    def through(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return through
+
+
 def map_texts(docs: DataFrame, text_col: str, fields: str, make, keep: list[str] | None = None) -> DataFrame:
     """Append columns that a Python function of the texts gives, in Arrow batches.
 
@@ -90,4 +117,4 @@ def map_texts(docs: DataFrame, text_col: str, fields: str, make, keep: list[str]
             for a, b in parts_of(texts, 1_000_000):
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(stay)], *work(texts[a:b])], names=[*stay, *added.names])
 
-    return sent.mapInArrow(run, T.StructType([*sent.schema.fields[: len(stay)], *added.fields]))
+    return sent.mapInArrow(tidy(run), T.StructType([*sent.schema.fields[: len(stay)], *added.fields]))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import parts_of
-from .common import WORD, unused, written
+from .common import WORD, tidy, unused, written
 
 COUNTERS, CHUNK = 1 << 20, 1 << 16
 NODES_KEPT = 500_000
@@ -225,7 +225,7 @@ def _prepared(docs: DataFrame, width: int) -> DataFrame:
                 row = (None, None, None, None, None, i, counts[i * CHUNK : (i + 1) * CHUNK].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types, strict=True)], names=names)
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, n long, node long, sketch binary, chunk int, counts binary")
+    return docs.select("doc_id", "mark", "text").mapInArrow(tidy(run), "doc_id long, mark long, n long, node long, sketch binary, chunk int, counts binary")
 
 
 def _total_counts(chunks: DataFrame) -> np.ndarray:
@@ -263,7 +263,7 @@ def _filed(docs: DataFrame, counts: np.ndarray, width: int, measure: Measure) ->
                     who, key = pieces(list(new.values()), shared.value, measure)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array(list(new), np.int64)[who])], names=["key", "node"])
 
-    return docs.select("text").mapInArrow(run, "key long, node long")
+    return docs.select("text").mapInArrow(tidy(run), "key long, node long")
 
 
 def _tested(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
@@ -284,7 +284,7 @@ def _tested(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
                 keep[i] = int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()) <= most[i]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    return sized.mapInArrow(run, "a long, b long")
+    return sized.mapInArrow(tidy(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, measure: Measure) -> DataFrame:
@@ -318,7 +318,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, m
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
-    return written(dealt.mapInArrow(run, "a long, b long"), "jaccard-links")
+    return written(dealt.mapInArrow(tidy(run), "a long, b long"), "jaccard-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -386,7 +386,7 @@ def _across(rest: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
 
         def once(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
             new = {x for x in links if x not in told}
-            if len(told) > NODES_KEPT:
+            if len(told) > NODES_KEPT // 4:
                 told.clear()
             told.update(new)
             return sorted(new)
@@ -403,7 +403,7 @@ def _across(rest: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
         if block and (links := once(found(block))):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def classes(docs: DataFrame, *, width: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -469,3 +469,17 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         order = Window.partitionBy(own, mark).orderBy(*[c for c in docs.columns if c != text_col])
         kept = kept.withColumn(nth, F.row_number().over(order)).where((F.col(nth) == 1) | ~worded)
     return kept.select(*[docs[c] for c in docs.columns])
+
+
+#: All pairs that share a shingle, for tables of some thousand documents.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS a_n, b.n AS b_n, count(*) AS both_n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * both_n >= 85 * (a_n + b_n - both_n)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM s UNION SELECT r.node, u.b FROM r JOIN u ON r.reach = u.a),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, component_id FROM s JOIN c ON c.node = s.doc_id
+"""

@@ -84,7 +84,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-@_query("op9_jaccard_join")
+@_query("op9_jaccard_join", jaccard.ORACLE)
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.classes(read(spark, sf_dir, "documents"), width=4, part=85, whole=100)
     return found.select("doc_id", "n_shingles", "component_id")

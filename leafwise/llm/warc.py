@@ -20,7 +20,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, tidy, written
 
 LEAST_REVISIT_BYTES = 0
 #: Ranges with at most so many bytes between them are read at once, up to so many bytes.
@@ -129,7 +129,7 @@ def write(pages: DataFrame, to: str | None = None, *, id_col: str = "page_id", u
             if out:
                 out.close()
 
-    return written(rows.mapInArrow(run, INDEX), "warc-index")
+    return written(rows.mapInArrow(tidy(run), INDEX), "warc-index")
 
 
 def fetch(index: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def fetch(index: DataFrame) -> DataFrame:
         for h in handles.values():
             h.close()
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(tidy(run), schema)
 
 
 ORACLE = """
