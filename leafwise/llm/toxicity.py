@@ -16,10 +16,10 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
+from .common import map_texts, share_of_ids, tidy, written
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
@@ -30,16 +30,18 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "§": "s",
 }
 SEPARATORS = ".-_*~'`^,:;/\\#=\u200b\u00ad "
-SWAP, DROP, REPEAT, ODD = 1.5, 0.4, 0.7, 4.0
-#: At most so many labelled texts of each class are learned from, those with the smallest hash of their id.
+SWAP, DROP, REPEAT, DOUBLE, ODD = 1.5, 0.4, 0.7, 2.5, 14.0
+#: About so many labelled texts of each class at most are learned from, those whose hash of the id is small enough.
 TEXTS_A_CLASS = {1: 4_000, 0: 8_000}
 #: A feature tells if so many toxic texts use it in contexts of their own, and if the lower bound (Wilson's, at so many
 #: standard deviations) of its toxic share is so high.
 LEAST_CONTEXTS, SURE, LEAST_SHARE, FEATURES = 5, 3.0, 0.3, 20_000
+#: A feature is pure up to this many clean texts a toxic one; a word is looked for in runs of letters up to this rate.
+PURE, RARE = 0.02, 1e-6
 BEGINNINGS, ENDS = (4, 5, 6, 7, 8), (5,)
 #: Distinct tokens with the feature that a toxic text is taken to hold beyond chance, on average.
 EXTRA = 2.0
-TOKENS_KEPT = 500_000
+TOKENS_KEPT = 300_000
 THRESHOLD = 0.3
 
 _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -85,7 +87,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
-    found = docs.select(text_col).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select(text_col).mapInArrow(tidy(run), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(SIDE**3)
     n[found["gram"].to_numpy(int)] = found["n"].to_numpy(float)
     n = n.reshape(SIDE, SIDE, SIDE)
@@ -110,7 +112,8 @@ def viterbi(token: str, model: np.ndarray) -> str:
         if c in SEPARATORS:
             options.append(("", DROP))
         elif k and c == lower[k - 1]:
-            options.append(("", REPEAT))
+            longer = (k > 1 and c == lower[k - 2]) or lower[k + 1 : k + 2] == c
+            options.append(("", REPEAT if longer else DOUBLE))
         elif not options or c in LEET:
             options.append(("", ODD))
         new: dict[tuple[int, int], tuple[float, str]] = {}
@@ -176,12 +179,16 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.tokens = _Tokens(model)
+        #: Whole words to look for inside a run of single characters, which may hold several.
+        self.words = [f for f, (_, rate) in model.told.items() if len(f) > 3 and "-" not in f and rate <= RARE]
 
     def score(self, text: str) -> float:
         model, odds = self.model, 0.0
         tokens = set(text.split())
         hits = [h for h in map(self.tokens.__getitem__, tokens) if h]
-        hits += [h for m in _SPACED.finditer(text) if (h := self.tokens[viterbi(m[0], model.letters)])]
+        for m in _SPACED.finditer(text):
+            run = viterbi(m[0], model.letters)
+            hits += [h for h in (self.tokens[run], *(self.tokens[w] for w in self.words if w in run)) if h]
         for feature, k in Counter(f for h in hits for f in h).items():
             use, rate = model.told[feature]
             chance = rate * len(tokens)
@@ -199,9 +206,8 @@ def learn(docs: DataFrame, labels: DataFrame, letters: np.ndarray, *, id_col: st
     totals = {r[0]: r[1] for r in known.groupBy("toxic_").count().collect()}
     if not totals.get(1):
         return Model(letters, 0.0, {})
-    nth = F.row_number().over(Window.partitionBy("toxic_").orderBy(F.xxhash64("id_"), "id_"))
-    most = F.when(F.col("toxic_") == 1, TEXTS_A_CLASS[1]).otherwise(TEXTS_A_CLASS[0])
-    sample = known.withColumn("nth_", nth).where(F.col("nth_") <= max(TEXTS_A_CLASS.values())).where(F.col("nth_") <= most).drop("nth_")
+    part = F.when(F.col("toxic_") == 1, TEXTS_A_CLASS[1] / totals[1]).otherwise(TEXTS_A_CLASS[0] / max(1, totals.get(0, 0)))
+    sample = known.where(share_of_ids("id_", part))
     rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("id_")).select(F.col(text_col).alias("text"), F.col("toxic_").alias("toxic"))
     shared = spark.sparkContext.broadcast(letters)
 
@@ -231,17 +237,25 @@ def learn(docs: DataFrame, labels: DataFrame, letters: np.ndarray, *, id_col: st
                 a, b, c = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int32()), pa.array(c, pa.int32())], names=["word", "around", "toxic"])
 
-    uses = rows.mapInArrow(run, "word string, around int, toxic int").groupBy("word", "around").agg(F.max("toxic").alias("toxic"))
+    uses = rows.mapInArrow(tidy(run), "word string, around int, toxic int").groupBy("word", "around").agg(F.max("toxic").alias("toxic"))
     words = written(uses.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")), "tox-words")
     w = F.col("word")
     edges = [F.when(F.length(w) > n, F.concat(F.substring(w, 1, n), F.lit("-"))) for n in BEGINNINGS] + [F.when(F.length(w) > n, F.concat(F.lit("-"), F.expr(f"right(word, {n})"))) for n in ENDS]
-    told = words.select(F.explode(F.array_compact(F.array(w, *edges))).alias("feature"), "bad", "good").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    exploded = words.select("word", F.explode(F.array_compact(F.array(w, *edges))).alias("feature"), "bad", "good")
     weight = max(1.0, totals.get(0, 0) / TEXTS_A_CLASS[0]) / max(1.0, totals[1] / TEXTS_A_CLASS[1])
     base = totals[1] / sum(totals.values())
     n = F.col("bad") + F.col("good") * F.lit(weight)
     p = F.col("bad") / n
     bound = (p + SURE**2 / (2 * n) - SURE * F.sqrt(p * (1 - p) / n + SURE**2 / (4 * n * n))) / (1 + SURE**2 / n)
-    best = told.where(F.col("bad") >= LEAST_CONTEXTS).where(bound >= LEAST_SHARE).orderBy(F.desc("bad"), "feature").limit(FEATURES)
+
+    def telling(rows: DataFrame, more: Column) -> DataFrame:
+        summed = rows.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        return summed.where(F.col("bad") >= LEAST_CONTEXTS).where(bound >= LEAST_SHARE).where(more).orderBy(F.desc("bad"), "feature").limit(FEATURES)
+
+    # First what hardly any clean text uses; what else tells must do so by words that hold none of that.
+    pure = written(telling(exploded, F.col("good") * F.lit(weight) <= PURE * F.col("bad")), "tox-pure")
+    covered = exploded.join(pure.select("feature"), "feature", "left_semi").select("word").distinct()
+    best = pure.unionByName(telling(exploded.join(covered, "word", "left_anti"), F.lit(True)))
     toxic = min(totals[1], TEXTS_A_CLASS[1])
     words_read = words.agg(F.sum("good")).first()[0] or 1
     return Model(letters, base, {r["feature"]: (min(1.0, r["bad"] / toxic), (r["good"] + 0.1) / words_read) for r in best.collect()})

@@ -39,7 +39,7 @@ def test_viterbi_equals_exhaustive_search(letters):
             if c in toxicity.SEPARATORS:
                 options.append(("", toxicity.DROP))
             elif k and c == token[k - 1]:
-                options.append(("", toxicity.REPEAT))
+                options.append(("", toxicity.REPEAT if (k > 1 and c == token[k - 2]) or token[k + 1 : k + 2] == c else toxicity.DOUBLE))
             elif c in toxicity.LEET:
                 options.append(("", toxicity.ODD))
             out = [(t + o, s + p) for t, s in out for o, p in options]
