@@ -55,7 +55,7 @@ def classify(files: DataFrame, cfg: Config | None = None, judge: judges.Judge |
     # Where the label says scan or image, the layout pass is left out.
     skip = evidence.skips_analysis(F.col("reported"), F.col("flagged"), n)
     complex_ = ~skip & ((F.size("tables") > 0) | (F.size("columns") > 0))
-    return out.withColumn("is_complex_layout", complex_).withColumn("failed", F.col("error").isNotNull()).withColumn("is_image", F.lit(False)).withColumn("classify_ms", F.lit(0.0)).drop("pages", "flagged", "tables", "columns", "reported", "error")
+    return out.withColumn("is_complex_layout", complex_).withColumn("failed", F.col("error").isNotNull()).withColumn("is_image", F.lit(False)).withColumn("classify_ms", F.coalesce("classify_ms", F.lit(0.0))).drop("pages", "flagged", "tables", "columns", "reported", "error")
 
 
 def plan_route(classified: DataFrame, cfg: Config | None = None) -> DataFrame:

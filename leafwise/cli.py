@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import api
 from . import config as conf
 from .functions import columns as C
-from .operators import bench, judges, report, scoring
+from .operators import bench, judges, policy, report
 from .sources import corpus
 
 
@@ -113,7 +113,7 @@ def main(argv: list[str] | None = None) -> int:
         line = F.format_string("%s (confidence %.2f), %d page(s), %d needing OCR %s, %s", "pdf_type", F.col("confidence").cast("double"), "page_count", F.size("pages_needing_ocr"), C.format_pages(F.col("pages_needing_ocr")), F.when(F.col("is_complex_layout"), "complex layout").otherwise("simple layout"))
         out = out.withColumn("line", line)
     elif args.command == "plan":
-        out = api.decide(content, cfg, judge, args.default_model).select("doc_id", "kind", "metadata")
+        out = api.decide(content, cfg, judge, args.default_model).select("doc_id", "kind", policy.metadata_json(F.col("metadata")).alias("metadata"))
     elif args.command == "extract":
         out = api.extract_local(content, pages, cfg)
         if args.out:
@@ -125,11 +125,13 @@ def main(argv: list[str] | None = None) -> int:
         out = docs.join(merged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.min_by(C.preview(F.col("markdown")), "at").alias("preview")), "doc_id", "left")
     for row in out.orderBy("doc_id").toLocalIterator():
         values = row.asDict(recursive=True)
+        if args.command == "plan":
+            values["metadata"] = json.loads(values["metadata"])
         print(json.dumps(values, default=str) if args.json or "line" not in values else f"{args.files[values['doc_id']]}: {values['line']}")
     return 0
 
 
-__all__ = ["http_host", "main", "scoring"]
+__all__ = ["http_host", "main"]
 
 if __name__ == "__main__":
     sys.exit(main())

@@ -7,6 +7,7 @@ streams, encryption and fonts with maps of their own are not read; such pages sh
 from __future__ import annotations
 
 import re
+import time
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 MAGIC = b"%PDF"
 DEPTH = 64
 INHERITED = ("Resources", "MediaBox", "CropBox", "Rotate")
-FEATURES = "doc_id long, page_count int, error string, pages array<struct<page:int,text:string,text_ops:int,image_pixels:long,alnum_kinds:int,vector_text:boolean,bad_fonts:boolean,tables:boolean,columns:boolean>>"
+FEATURES = "doc_id long, page_count int, error string, classify_ms double, pages array<struct<page:int,text:string,text_ops:int,image_pixels:long,alnum_kinds:int,vector_text:boolean,bad_fonts:boolean,tables:boolean,columns:boolean>>"
 
 _OBJECT = re.compile(rb"(?<!\d)(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
 _REFERENCE = re.compile(rb"(\d+)\s+(\d+)\s+R\b")
@@ -146,13 +147,14 @@ def features(files: DataFrame) -> DataFrame:
         for pdf in frames:
             out = []
             for doc_id, content in zip(pdf["doc_id"], pdf["content"], strict=True):
+                began, pages, error = time.perf_counter(), [], None
                 try:
                     doc = parse(bytes(content))
                     pages = [{"page": i, **page_features(doc, n)} for i, n in enumerate(doc.pages)]
-                    out.append((doc_id, len(pages), None, pages))
                 except Exception as e:  # noqa: BLE001  a file that can't be read is a result here
-                    out.append((doc_id, 0, f"{type(e).__name__}: {e}"[:300], []))
-            yield pd.DataFrame(out, columns=["doc_id", "page_count", "error", "pages"])
+                    error = f"{type(e).__name__}: {e}"[:300]
+                out.append((doc_id, len(pages), error, (time.perf_counter() - began) * 1000, pages))
+            yield pd.DataFrame(out, columns=["doc_id", "page_count", "error", "classify_ms", "pages"])
 
     return files.select("doc_id", "content").mapInPandas(run, FEATURES)
 
