@@ -13,14 +13,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import regex
 
+from .common import tidy
+
 FAR = np.int64(1) << 62
-PIECES_KEPT = 500_000
-SEGMENTS_KEPT = 500_000
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+PIECES_KEPT = 600_000
+SEGMENTS_KEPT = 300_000
 CHARS_AT_ONCE = 4_000_000
 
 
@@ -199,28 +203,37 @@ class Encoder:
         look = self.pieces.__getitem__
         return {t: b"".join(map(look, found)) for t, found in split.items()}
 
+    def _segments(self, new: set[str]) -> None:
+        """Learn segments, each read with the space before it. Most are a plain word, perhaps with a stop or comma."""
+        plain = {s: m.groups() for s in new if (m := _PLAIN.fullmatch(s))}
+        ends = self._parts(["", ".", ","])
+        words = {f" {word}" for word, _ in plain.values()}
+        missing = words.difference(self.pieces)
+        if missing:
+            kept = {p: self.pieces[p] for p in words.difference(missing)} if len(self.pieces) + len(missing) > PIECES_KEPT else {}
+            self._learn(missing)
+            self.pieces.update(kept)
+        look = self.pieces
+        for s, (word, end) in plain.items():
+            self.segments[s] = look[f" {word}"] + ends[end]
+        for s, ids in self._parts([f" {s}" for s in new.difference(plain)]).items():
+            self.segments[s[1:]] = ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        apart: list[list[str] | None] = []
-        whole: set[str] = set()
+        split = [t.split(" ") for t in texts]
         seen: set[str] = set()
-        for t in texts:
-            first, *rest = t.split(" ")
-            kinds = set(rest)
-            if (rest and (not first or first[-1].isspace())) or any(not s or s[0].isspace() or s[-1].isspace() for s in kinds.difference(self.segments)):
-                apart.append(None)
-                whole.add(t)
-            else:
-                apart.append(rest)
-                whole.add(first)
-                seen |= kinds
+        for found in split:
+            seen.update(found[1:])
         new = seen.difference(self.segments)
+        odd = {s for s in new if not s or s[0].isspace() or s[-1].isspace()}
+        new -= odd
         if len(self.segments) + len(new) > SEGMENTS_KEPT:
-            self.segments = {s: self.segments[s] for s in seen.difference(new)}
-        for s, ids in self._parts([" " + s for s in new]).items():
-            self.segments[s[1:]] = ids
-        firsts = self._parts(whole)
+            self.segments = {s: self.segments[s] for s in seen.difference(new, odd)}
+        self._segments(new)
+        whole = [len(f) > 1 and (not f[0] or f[0][-1].isspace() or not (not odd or odd.isdisjoint(f[1:]))) for f in split]
+        firsts = self._parts({t if w else f[0] for t, f, w in zip(texts, split, whole, strict=True)})
         look = self.segments.__getitem__
-        return [firsts[t] if rest is None else firsts[t[: t.find(" ")] if rest else t] + b"".join(map(look, rest)) for t, rest in zip(texts, apart, strict=True)]
+        return [firsts[t] if w else firsts[f[0]] + b"".join(map(look, f[1:])) for t, f, w in zip(texts, split, whole, strict=True)]
 
 
 def parts_of(values: list, chars: int = CHARS_AT_ONCE) -> Iterator[tuple[int, int]]:
@@ -274,7 +287,7 @@ def encode_documents(docs, vocabulary: str, pattern: str, *, id_col: str = "doc_
                     columns.append(pa.array([encoder.ranks.decode(x) for x in ids], type=pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=rest.schema.names + ["ids"] + ["decoded"] * decode)
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(tidy(run), schema)
 
 
 def digest_documents(docs, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text"):
@@ -295,4 +308,4 @@ def digest_documents(docs, vocabulary: str, pattern: str, *, id_col: str = "doc_
                 ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
