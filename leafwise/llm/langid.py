@@ -12,14 +12,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, share_of_ids, tidy
 
 BITS = 17
 ALPHA = 0.05
-#: At most so many labelled texts of each language are learned from, those with the smallest hash of their id.
+#: About so many labelled texts of each language at most are learned from, those whose hash of the id is small enough.
 TEXTS_A_LANGUAGE = 2_000
 LARGEST_SET = 3
 ROUNDS = 8
@@ -135,13 +135,14 @@ def infer(texts: list[str], model: Model, largest: int = LARGEST_SET, rounds: in
 
 
 def learn(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = TEXTS_A_LANGUAGE, bits: int = BITS) -> Model:
-    """Learn from rows with text and language. To the driver come ids (`texts` a language) and at most 2 ** bits counts a language."""
+    """Learn from rows with text and language. To the driver come the languages and at most 2 ** bits counts of each."""
     import pyarrow as pa
 
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    ids = rows.select(id_col, lang_col).withColumn("nth_", F.row_number().over(order)).where(F.col("nth_") <= texts).select(F.col(id_col).alias("chosen_")).distinct()
-    sample = rows.join(F.broadcast(ids), F.col(id_col) == F.col("chosen_"), "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    parts = {r["lang"]: texts / r["count"] for r in rows.groupBy("lang").count().collect()}
+    part = F.element_at(F.create_map(*[F.lit(x) for item in parts.items() for x in item]), F.col("lang")) if parts else F.lit(0.0)
+    sample = rows.where(share_of_ids("id", part)).select("lang", "text")
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
@@ -154,7 +155,7 @@ def learn(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(table[at])], names=["lang", "bucket", "n"])
 
-    found = sample.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.mapInArrow(tidy(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique().tolist())
     counts = np.zeros((1 << bits, len(languages)))
     counts[found["bucket"].to_numpy(int), found["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int)] = found["n"].to_numpy(float)
