@@ -2,7 +2,8 @@
 
 A token that the channel may have touched becomes a lattice: each character stands for itself, for the letters it can
 imitate, or (separators, repeats) for nothing, each at a price. Viterbi search over the last two letters finds the
-reading that is likeliest under a character trigram model of the whole corpus. The score of a document
+reading that is likeliest under a character trigram model of the whole corpus. Tokens that ordinary writing makes as well
+(a doubled letter, a hyphen, a digit) count both as they stand and as they are read. The score of a document
 is that of its most telling feature: words, their beginnings and their ends that toxic texts use far more, where texts
 with one context for a word (copies of a text) count once. A feature that clean texts use as well tells by how often it
 stands in the text against what chance would bring into a text of that length.
@@ -14,6 +15,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from operator import eq
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -45,8 +47,14 @@ TOKENS_KEPT = 300_000
 THRESHOLD = 0.3
 
 _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
+_SWAPS = {c: [(x, _INDEX[x], SWAP) for x in letters] for c, letters in LEET.items()}
 _SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
-_TOUCHED = re.compile(r"[^\W\d_][0-9@$!|+(<€£¡§*]+[^\W\d_]|^[0-9@$!|+(<€£¡§]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$|+(<€£¡§]+[.,;:?!\"')]*$|([^\W\d_])\1\1|(?:^|[^\w])[^\W_](?:[.\-_*~'`^,:;/\\#=\u200b\u00ad][^\W_]){3,}|[^\W\d_][\u200b\u00ad*][^\W\d_]")
+_SURE = re.compile(r"[^\W\d_][0-9@$!|+(<€£¡§*]+[^\W\d_]|^[0-9@$!|+(<€£¡§]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$|+(<€£¡§]+[.,;:?!\"')]*$|([^\W\d_])\1\1|(?:^|[^\w])[^\W_](?:[.\-_*~'`^,:;/\\#=\u200b\u00ad][^\W_]){3,}|[^\W\d_][\u200b\u00ad*][^\W\d_]")
+_DOUBLED = re.compile(r"([^\W\d_])\1", re.IGNORECASE)
+_PARTED = re.compile(rf"[^\W_][{re.escape(SEPARATORS)}]+[^\W_]".replace(r"[^\W_]", rf"(?:[^\W_]|[{re.escape(''.join(c for c in LEET if not c.isdigit()))}])"))
+_LEET = re.compile(f"[{re.escape(''.join(LEET))}]")
+#: Digits and separators alone are a number, not a word in disguise.
+_NUMBER = re.compile(rf"[\d{re.escape(SEPARATORS)}]*\Z")
 _EDGE = re.compile(r"^\W+|\W+$")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -98,41 +106,79 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+_FLAT: list[tuple[np.ndarray, list[float]]] = []
+
+
+def _flat(model: np.ndarray) -> list[float]:
+    """The model as a list, which Python reads faster; that of the model last used is kept."""
+    if not _FLAT or _FLAT[0][0] is not model:
+        _FLAT[:] = [(model, model.ravel().tolist())]
+    return _FLAT[0][1]
+
+
 def viterbi(token: str, model: np.ndarray) -> str:
     """The likeliest reading of a token. Ties go to the reading that was found first, in the order of the options."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    flat = _flat(model)
+    # A state is the last two letters, as two digits to the base SIDE.
+    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
     lower = token.lower()
     for k, c in enumerate(lower):
-        options: list[tuple[str, float]] = []
+        options: list[tuple[str, int, float]] = []
         if c in _INDEX:
-            options.append((c, 0.0))
+            options.append((c, _INDEX[c], 0.0))
         elif c.isalpha():
-            options.append(("", ODD))
-        options += [(x, SWAP) for x in LEET.get(c, "")]
+            options.append(("", 0, ODD))
+        options += _SWAPS.get(c, ())
         if c in SEPARATORS:
-            options.append(("", DROP))
+            options.append(("", 0, DROP))
         elif k and c == lower[k - 1]:
             longer = (k > 1 and c == lower[k - 2]) or lower[k + 1 : k + 2] == c
-            options.append(("", REPEAT if longer else DOUBLE))
+            options.append(("", 0, REPEAT if longer else DOUBLE))
         elif not options or c in LEET:
-            options.append(("", ODD))
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, so_far) in states.items():
-            for letter, price in options:
-                if letter:
-                    i = _INDEX[letter]
-                    key, value = (b, i), score + float(model[a, b, i]) - price
+            options.append(("", 0, ODD))
+        new: dict[int, tuple[float, str]] = {}
+        for state, (score, so_far) in states.items():
+            for letter, i, price in options:
+                if i:
+                    at = state * SIDE + i
+                    key, value = at % SIDE**2, score + flat[at] - price
                 else:
-                    key, value = (a, b), score - price
+                    key, value = state, score - price
                 if key not in new or value > new[key][0]:
                     new[key] = (value, so_far + letter)
         states = new
-    return max(states.items(), key=lambda x: x[1][0] + float(model[x[0][0], x[0][1], 0]))[1][1]
+    return max(states.items(), key=lambda x: x[1][0] + flat[x[0] * SIDE])[1][1]
+
+
+def touched(token: str) -> bool:
+    """Whether the lattice has other readings of a token than its letters: it holds a doubled letter, a separator between
+    characters, or a character that can stand for a letter."""
+    if token.isalpha():
+        lower = token.lower()
+        return any(map(eq, lower, lower[1:]))
+    return bool((_DOUBLED.search(token) or _PARTED.search(token) or _LEET.search(token) or _SURE.search(token)) and not _NUMBER.match(token))
+
+
+def _core(token: str) -> str:
+    """A token without punctuation at its edges, unless a character there can stand for a letter."""
+    return _EDGE.sub("", token) if token[:1] not in LEET and token[-1:] not in LEET else token
 
 
 def restore_token(token: str, model: np.ndarray) -> str:
-    """The reading of a token that the channel may have touched, any other token as it is."""
-    return viterbi(_EDGE.sub("", token) if token[:1] not in LEET and token[-1:] not in LEET else token, model) if _TOUCHED.search(token) else token
+    """The likeliest reading of a token that the channel may have touched, any other token as it is."""
+    return viterbi(_core(token), model) if touched(token) else token
+
+
+def readings(token: str, model: np.ndarray) -> list[str]:
+    """What a token is taken to say, first what counts as its place in the text. A token that may be ordinary writing stands for
+    itself and for what the lattice reads, with and without a mark at its edge that may be punctuation."""
+    if not touched(token):
+        return [token]
+    core, bare = _core(token), _EDGE.sub("", token)
+    found = [viterbi(core, model)]
+    if bare and bare != core:
+        found.append(viterbi(bare, model))
+    return list(dict.fromkeys(found if _SURE.search(token) else [token, *found]))
 
 
 def restore(text: str, model: np.ndarray) -> str:
@@ -170,7 +216,7 @@ class _Tokens(dict):
         if len(self) > TOKENS_KEPT:
             self.clear()
         told = self.model.told
-        found = tuple({f for f in features(restore_token(token, self.model.letters)) if f in told})
+        found = tuple({f for said in readings(token, self.model.letters) for f in features(said) if f in told})
         self[token] = found
         return found
 
@@ -215,21 +261,28 @@ def learn(docs: DataFrame, labels: DataFrame, letters: np.ndarray, *, id_col: st
         import zlib
 
         model = shared.value
-        read: dict[str, list[str]] = {}
+        #: Token -> the words that stand in the text, and other words it may say.
+        read: dict[str, tuple[list[str], list[str]]] = {}
         for batch in batches:
             found: list[tuple[str, int, int]] = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = _SPACED.sub(lambda m: viterbi(m[0], model), text or "")
                 words: list[str] = []
+                placed: list[tuple[str, int, int]] = []
                 for t in text.split():
                     if t not in read:
                         if len(read) > TOKENS_KEPT:
                             read.clear()
-                        read[t] = _WORDS.findall(restore_token(t, model).lower())
-                    words += read[t]
+                        first, *others = [_WORDS.findall(said.lower()) for said in readings(t, model)]
+                        read[t] = first, [w for w in dict.fromkeys(w for other in others for w in other) if w not in first]
+                    stand, more = read[t]
+                    at = len(words)
+                    words += stand
+                    placed += [(w, at + i, at + i + 1) for i, w in enumerate(stand)]
+                    placed += [(w, at, len(words)) for w in more]
                 around, least = ["", *words, ""], {}
-                for i, w in enumerate(words):
-                    context = zlib.crc32(f"{around[i]} {around[i + 2]}".encode()) & 0x7FFFFFFF
+                for w, i, j in placed:
+                    context = zlib.crc32(f"{around[i]} {around[j + 1]}".encode()) & 0x7FFFFFFF
                     if context < least.get(w, 1 << 31):
                         least[w] = context
                 found += [(w, context, toxic) for w, context in least.items()]

@@ -30,6 +30,20 @@ def test_restoring_texts(letters):
     assert toxicity.restore_token("a" * 20_000, letters) in ("a", "aa")
 
 
+@pytest.mark.parametrize("hidden, plain", [("stuupid", "stupid"), ("iddiot", "idiot"), ("IdDiot", "idiot"), ("cllown", "clown"), ("id-iot", "idiot"), ("id.iot", "idiot"), ("clo/wn", "clown"), ("id--iot", "idiot"), ("1diot", "idiot"), ("(id-iot,", "idiot")])
+def test_one_doubled_letter_or_one_separator(letters, hidden, plain):
+    if hidden[0] != "(":
+        assert toxicity.restore_token(hidden, letters) == plain
+    assert plain in toxicity.readings(hidden, letters)
+    model = toxicity.Model(letters, 0.1, {plain: (0.5, 1e-7)})
+    assert toxicity.Scorer(model).score(f"the people were reading the {hidden} of it") > toxicity.THRESHOLD > toxicity.Scorer(model).score("the people were reading of it")
+
+
+def test_ordinary_writing_stands_for_itself_too(letters):
+    assert toxicity.readings("letter", letters)[0] == "letter" and toxicity.readings("well-known", letters)[0] == "well-known"
+    assert toxicity.readings("reading,", letters) == ["reading,"] and toxicity.readings("2024-05-06", letters) == ["2024-05-06"]
+
+
 def test_viterbi_equals_exhaustive_search(letters):
     def every(token):
         out = [("", 0.0)]
