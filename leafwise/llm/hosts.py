@@ -12,6 +12,8 @@ pages, is left to the skew handling of the adaptive planner, for the other side
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +21,14 @@ from .common import written
 
 #: The contract's rules: (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-DAMPING, ROUNDS, WRITE_EVERY = 0.6, 8, 4
+DAMPING, WRITE_EVERY = 0.6, 4
+#: Ranks are settled when no host's changes by more than this part of itself, and no new host is reached.
+SETTLED = 1e-6
+#: Rounds of the SQL, enough for the shallow graphs of the tables.
+SQL_ROUNDS = 8
 #: Distrust over trust from which a host is blocked.
 THRESHOLD = 1.0
-LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*([a-z][a-z0-9+.\-]*://[^"'\s<>]+)"""
+LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s<>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,9 +55,9 @@ def rule_column(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
 
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst, weight): links from pages to other hosts, summed by pair. A null url or html has none."""
+    """(src, dst, weight): links from pages to other hosts, with a scheme or from // on, summed by pair. A null url or html has none."""
     links = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(LINK), 1)).alias("to"))
-    links = links.select("src", host_of(F.col("to")).alias("dst"))
+    links = links.select("src", host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).otherwise(F.col("to"))).alias("dst"))
     return links.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
@@ -62,11 +68,12 @@ def family_edges(hosts: DataFrame) -> DataFrame:
     return both.select(F.explode(F.array(F.struct(F.col("host").alias("src"), F.col("up").alias("dst")), F.struct(F.col("up").alias("src"), F.col("host").alias("dst")))).alias("e")).select("e.src", "e.dst", F.lit(1.0).alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, *, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """(host, trust, distrust), both 1 in sum. seeds: (host, trusted, blocked), weights >= 0; edges: (src, dst, weight).
 
     A dangling host's mass goes back to the seeds, which is the same as scaling the walk without it. Hosts in
-    neither table and such as nothing reaches do not appear. Without seeds of a kind that rank is null.
+    neither table and such as nothing reaches do not appear. Without seeds of a kind that rank is null. Without a number
+    of rounds they go on until the ranks are settled: ranks only grow, so this takes the depth of the graph and some thirty rounds.
     """
     edges = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -81,11 +88,17 @@ def propagate(seeds: DataFrame, edges: DataFrame, *, damping: float = DAMPING, r
     start = written(start.where("s.seed > 0").select("host", F.col("s.kind").alias("kind"), ((1 - damping) * F.col("s.seed") / scale).alias("rank")), "hosts-seeds")
     rank = start
     if not flows.isEmpty():
-        for k in range(rounds):
+        before = rank
+        for k in itertools.count() if rounds is None else range(rounds):
             moved = flows.join(rank, ["kind", "host"]).select(F.col("to").alias("host"), "kind", (damping * F.col("part") * F.col("rank")).alias("rank"))
             rank = start.unionByName(moved).groupBy("host", "kind").agg(F.sum("rank").alias("rank"))
             if k % WRITE_EVERY == WRITE_EVERY - 1:
                 rank = written(rank, "hosts-rank")
+                if rounds is None:
+                    old = before.select("kind", "host", F.col("rank").alias("old"))
+                    if rank.join(old, ["kind", "host"], "left").where(F.col("old").isNull() | (F.col("rank") - F.col("old") > SETTLED * F.col("rank"))).isEmpty():
+                        break
+                    before = rank
     got = {r["kind"]: r["s"] for r in rank.groupBy("kind").agg(F.sum("rank").alias("s")).collect()}
     sums_of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank") / F.lit(got.get(kind) or 1.0)))
     return rank.groupBy("host").agg(sums_of("trust").alias("trust"), sums_of("distrust").alias("distrust"))
@@ -117,7 +130,7 @@ def _oracle() -> str:
     rules = sorted(RULES, key=lambda r: (-len(r[1]), r[0] != "block", r[1]))
     case = lambda value: "CASE " + " ".join(f"WHEN (host = '{r.partition('/')[0]}' OR host LIKE '%.{r.partition('/')[0]}') AND starts_with(path, '/{r.partition('/')[2]}') THEN '{value(k, r)}'" for k, r in rules) + " END"
     steps = ",\n".join(
-        f"r{i + 1} AS (SELECT host, kind, sum(rank) AS rank FROM (SELECT * FROM r0 UNION ALL SELECT f.dst, f.kind, {DAMPING} * f.part * r.rank FROM flows f JOIN r{i} r ON f.kind = r.kind AND f.host = r.host) GROUP BY ALL)" for i in range(ROUNDS)
+        f"r{i + 1} AS (SELECT host, kind, sum(rank) AS rank FROM (SELECT * FROM r0 UNION ALL SELECT f.dst, f.kind, {DAMPING} * f.part * r.rank FROM flows f JOIN r{i} r ON f.kind = r.kind AND f.host = r.host) GROUP BY ALL)" for i in range(SQL_ROUNDS)
     )
     return rf"""
 WITH u AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -134,8 +147,8 @@ flows AS (SELECT 'trust' AS kind, src AS host, dst, weight / sum(weight) OVER (P
 r0 AS (SELECT host, 'trust' AS kind, {1 - DAMPING} * trusted / (SELECT sum(trusted) FROM h) AS rank FROM h WHERE trusted > 0
   UNION ALL SELECT host, 'distrust', {1 - DAMPING} * blocked / (SELECT sum(blocked) FROM h) FROM h WHERE blocked > 0),
 {steps},
-k AS (SELECT host, sum(rank) FILTER (kind = 'trust') / (SELECT sum(rank) FROM r{ROUNDS} WHERE kind = 'trust') AS t,
-  sum(rank) FILTER (kind = 'distrust') / (SELECT sum(rank) FROM r{ROUNDS} WHERE kind = 'distrust') AS d FROM r{ROUNDS} GROUP BY host)
+k AS (SELECT host, sum(rank) FILTER (kind = 'trust') / (SELECT sum(rank) FROM r{SQL_ROUNDS} WHERE kind = 'trust') AS t,
+  sum(rank) FILTER (kind = 'distrust') / (SELECT sum(rank) FROM r{SQL_ROUNDS} WHERE kind = 'distrust') AS d FROM r{SQL_ROUNDS} GROUP BY host)
 SELECT page_id, j.host, path, rule, coalesce(by_rule, CASE WHEN coalesce(d, 0) > {THRESHOLD} * coalesce(t, 0) THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN k ON j.host = k.host
 """

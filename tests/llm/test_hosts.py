@@ -50,3 +50,11 @@ def test_ties_between_rules(spark):
     rules = (("allow", "org/ab"), ("block", "x.org/"), ("block", "org/aa"))
     pages = spark.createDataFrame([(1, "http://x.org/ab", None), (2, "http://y.org/aa", None)], "page_id long, url string, html string")
     assert {r.page_id: (r.rule, r.verdict) for r in hosts.judge(pages, rules).collect()} == {1: ("x.org/", "block"), 2: ("org/aa", "block")}
+
+
+def test_distrust_goes_as_far_as_the_links(spark):
+    rows = [(0, "http://h0.com/de/1", None)] + [(i, f"http://h{i}.net/", f'<a href="//h{i - 1}.{"net" if i > 1 else "com"}/x">') for i in range(1, 13)]
+    got = {r.page_id: r for r in hosts.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: r.verdict for k, r in got.items()} == {i: "block" for i in range(13)}
+    rank = [hosts.DAMPING**i for i in range(13)]
+    assert [got[i].distrust for i in range(13)] == pytest.approx([x / sum(rank) for x in rank], rel=1e-5)
