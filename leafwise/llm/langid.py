@@ -2,8 +2,8 @@
 
 Learning: for each language, counts of letter trigrams (with word edges) in a bounded sample of labelled texts.
 Prediction: each word has a likelihood under each language, the product of its trigrams'. Expectation-maximisation
-finds the document's language proportions; for sets of 1, 2, ... languages (the largest proportions first)
-it is run again on the set alone, and the set with the least penalised likelihood (BIC) is selected.
+finds the document's language proportions; for sets of 1, 2, ... languages, up to all (the largest
+proportions first), it is run again on the set alone, and the set with the least penalised likelihood (BIC) is selected.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ BITS = 17
 ALPHA = 0.05
 #: About so many labelled texts of each language at most are learned from, those whose hash of the id is small enough.
 TEXTS_A_LANGUAGE = 2_000
-LARGEST_SET = 3
 ROUNDS = 8
 CHARS_AT_ONCE = 1_000_000
 UNDETERMINED = "und"
@@ -93,8 +92,8 @@ def _em(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, share: np.ndarray
     return share, np.add.reduceat(fit.astype(np.float64), starts)
 
 
-def infer(texts: list[str], model: Model, largest: int = LARGEST_SET, rounds: int = ROUNDS) -> list[tuple[str, float, list[str], list[float]]]:
-    """(language, score, language set, proportions) of each text."""
+def infer(texts: list[str], model: Model, largest: int | None = None, rounds: int = ROUNDS) -> list[tuple[str, float, list[str], list[float]]]:
+    """(language, score, language set, proportions) of each text; sets of all sizes are tried, or up to the largest."""
     none = (UNDETERMINED, 0.0, [], [])
     out: list[tuple[str, float, list[str], list[float]]] = [none] * len(texts)
     found = [word_likelihoods(t, model) for t in texts] if model.languages else []
@@ -117,7 +116,7 @@ def infer(texts: list[str], model: Model, largest: int = LARGEST_SET, rounds: in
     chosen[np.arange(len(some)), best] = 1
     penalty = np.log(np.maximum(size, 2))
     cost = -2 * (single.max(axis=1) - top) + penalty
-    for k in range(2, min(largest, n) + 1):
+    for k in range(2, min(n if largest is None else largest, n) + 1):
         allowed = np.zeros_like(share)
         np.put_along_axis(allowed, order[:, :k], 1, axis=1)
         part = np.maximum(share, 1e-4) * allowed

@@ -21,6 +21,16 @@ def test_held_out_accuracy_and_mixture(spark):
     assert main == "en" and set(langs) == {"en", "fr"} and 0.5 < score < 0.85 and abs(sum(shares) - 1) < 1e-5
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_a_mixture_of_all_languages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.learn(docs.where(~held_out()))
+    text = {r.lang: r.text for r in docs.where("n_chars > 800").collect()}
+    (_, score, langs, shares), = langid.infer([" ".join(text[x][:800] for x in model.languages)], model)
+    assert len(model.languages) == 4 and set(langs) == set(model.languages)
+    assert abs(sum(shares) - 1) < 1e-5 and min(shares) > 0.1 and score == max(shares) < 0.4
+
+
 def test_texts_without_letters_and_clashing_columns(spark, table):
     importable(spark)
     rows = [(i, "the cat and the dog went home " * 3, "en", "s", 1) for i in range(8)] + [(i, "le chat et le chien sont dans la maison " * 3, "fr", "s", 1) for i in range(8, 16)]
