@@ -79,7 +79,7 @@ def systematic_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     t = targets.withColumnsRenamed({"source": "s"})
     parts = parts.join(t, parts["s"].eqNullSafe(t["s"])).select(parts["s"], "c", "parts", "source_size", "target")
     slim = slim.join(parts, slim["source"].eqNullSafe(parts["s"]) & (F.col("cls") == F.col("c")))
-    slim = slim.withColumn("part", F.coalesce(_digest(F.concat(F.lit(seed), F.col("doc_id").cast("string")), 8) % F.col("parts"), F.lit(0)))
+    slim = slim.withColumn("part", F.coalesce(_digest(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.col("mark").cast("string"))), 8) % F.col("parts"), F.lit(0)))
     slim = slim.drop("s", "c", "parts")
     cells = slim.groupBy("source", "cls", "part").agg(F.count(F.lit(1)).alias("rows"))
     along = Window.partitionBy("source").orderBy("cls", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,12 +96,16 @@ def systematic_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed documents: each row of docs as often as it is taken, with docs' columns. Rows that share id, source and
-    text are each taken as often as the one of them that is taken most."""
-    copies = systematic_copies(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
-    key, source, mark, n = unused(docs, "mix_id", "mix_source", "mix_mark", "mix_copies")
-    copies = copies.groupBy(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("mark").alias(mark)).agg(F.max("copies").alias(n))
+    text are taken as often in all as those rows are; they share it as evenly as whole numbers can."""
+    copies = systematic_copies(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    key, source, mark, n, like, nth = unused(docs, "mix_id", "mix_source", "mix_mark", "mix_copies", "mix_like", "mix_nth")
+    copies = copies.groupBy(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("mark").alias(mark)).agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias(like))
+    copies = written(copies.where(F.col(n) > 0), "mix-copies")
     same = docs[id_col].eqNullSafe(copies[key]) & docs[source_col].eqNullSafe(copies[source]) & F.xxhash64(docs[text_col]).eqNullSafe(copies[mark])
     joined = docs.join(copies.hint("shuffle_hash"), same)
+    if not copies.where(F.col(like) > 1).isEmpty():
+        order = Window.partitionBy(key, source, mark).orderBy(*[c for c in docs.columns if c not in (text_col, id_col, source_col)] or [F.lit(1)])
+        joined = joined.withColumn(nth, F.row_number().over(order)).withColumn(n, F.floor(F.col(n) / F.col(like)) + (F.col(nth) <= F.col(n) % F.col(like)).cast("long")).where(F.col(n) > 0)
     out = joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias(key))
     return out.drop(key)
 

@@ -25,6 +25,8 @@ from .common import fresh, tidy, written
 LEAST_REVISIT_BYTES = 0
 #: Ranges with at most so many bytes between them are read at once, up to so many bytes.
 GAP, READ_AT_ONCE = 64 << 10, 8 << 20
+#: So many bytes of payloads are handed on at once, or one payload that is larger.
+BYTES_A_BATCH = 32 << 20
 INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long"
 EMPTY_DATE = "1970-01-01T00:00:00Z"
 
@@ -82,28 +84,30 @@ def _id_of(value: str | None) -> int | None:
 
 
 def decide(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
-    """page_id, refers_to (null for a response). Digests only are dealt out; a digest's smallest id is found by an
+    """(page_id, sha, refers_to) of the revisits, each once. Digests only are dealt out; a digest's smallest id is found by an
     aggregate that combines before it shuffles, and joined back."""
-    slim = pages.select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("bytes"))
-    slim = written(slim.where((F.col("bytes") >= least) & F.col("page_id").isNotNull()), "warc-digests")
-    first = slim.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return slim.join(first, "sha").where("page_id <> first").select("page_id", F.col("first").alias("refers_to"))
+    slim = written(pages.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).select("page_id", "sha").distinct(), "warc-digests")
+    first = slim.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return slim.join(first, "sha").where("page_id <> refers_to").select("page_id", "sha", "refers_to")
 
 
 def write(pages: DataFrame, to: str | None = None, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT_BYTES) -> DataFrame:
     """Write the archives into a folder and return their index, one row per page.
 
     Payload: the html in UTF-8, empty where it is null. A null URL gives a record without target. Rows that repeat an
-    id are written each; those after the first in a payload group of one id refer to nothing. A task that runs
-    again writes a file of its own name; the index names the files of the tasks that counted.
+    id are written each, and each payload of an id is a revisit or not on its own; rows that repeat the first id of a payload
+    are responses, as are rows without an id, which are never referred to. A task that runs again writes a file of its own
+    name; the index names the files of the tasks that counted.
     """
     import pyarrow as pa
 
     spark = pages.sparkSession
     folder = to or fresh(spark, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    revisits = written(decide(rows, least), "warc-revisits").groupBy("page_id").agg(F.min("refers_to").alias("refers_to"))
-    rows = rows.join(revisits.hint("shuffle_hash"), "page_id", "left")
+    named = rows.where("page_id IS NOT NULL").withColumn("sha", F.sha1("payload"))
+    revisits = written(decide(named, least), "warc-revisits")
+    # Rows without an id stay where they are: no key deals them out.
+    rows = named.join(revisits.hint("shuffle_hash"), ["page_id", "sha"], "left").drop("sha").unionByName(rows.where("page_id IS NULL").withColumn("refers_to", F.lit(None).cast("long")))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -156,21 +160,33 @@ def fetch(index: DataFrame) -> DataFrame:
             for _, at, length in ranges:
                 yield parse(zlib.decompress(data[at - start : at - start + length], 31))
 
-        def out(found):
+        def batch_of(found):
             rows = [(_id_of(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), None if h["WARC-Type"] == "revisit" else body, int(h["X-Payload-Length"]) if h["WARC-Type"] == "revisit" else len(body),
                      h["WARC-Payload-Digest"].partition(":")[2] if h["WARC-Type"] == "revisit" else digest(body), h["WARC-Type"], _id_of(h.get("WARC-Refers-To"))) for h, body in found]
             kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
+        def out(found):
+            """Batches of bounded size, whatever the payloads were packed to."""
+            held, size = [], 0
+            for headers, body in found:
+                held.append((headers, body))
+                size += len(body)
+                if size >= BYTES_A_BATCH:
+                    yield batch_of(held)
+                    held, size = [], 0
+            if held:
+                yield batch_of(held)
+
         run_: list[tuple[str, int, int]] = []
         for batch in batches:
             for name, offset, length in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 if run_ and (name != run_[-1][0] or offset - run_[-1][1] - run_[-1][2] > GAP or offset < run_[-1][1] or offset + length - run_[0][1] > READ_AT_ONCE):
-                    yield out(records(run_))
+                    yield from out(records(run_))
                     run_ = []
                 run_.append((name, offset, length))
         if run_:
-            yield out(records(run_))
+            yield from out(records(run_))
         for h in handles.values():
             h.close()
 

@@ -63,3 +63,14 @@ def test_edges(spark, table):
     assert mixing.systematic_copies(table([])).count() == 0
     empty = mixing.systematic_copies(table([(1, None, None, "a", 1)])).first()
     assert (empty.copies, empty.target) == (0, 0.0)
+
+
+def test_repeated_rows_are_taken_as_often_as_they_count(spark, table):
+    rows = [(1, "a b c", "en", "a", k % 3) for k in range(40)] + [(k, "x y", "en", "b", k) for k in range(2, 40)] + [(None, "u v", None, None, None)] * 9
+    docs = table(rows)
+    want = {(r.doc_id, r.source): r.n for r in mixing.systematic_copies(docs).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect() if r.n}
+    mixed = mixing.mix(docs).collect()
+    got = {}
+    for r in mixed:
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + 1
+    assert got == want and sum(r.doc_id == 1 for r in mixed) < 40

@@ -42,3 +42,18 @@ def test_repeated_rows(spark):
     importable(spark)
     pages = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (2, "u", "x")], "page_id long, url string, html string")
     assert sorted((r.page_id, r.record_type) for r in warc.fetch(warc.write(pages)).collect()) == [(1, "response"), (1, "response"), (2, "revisit")]
+
+
+def test_an_id_with_several_payloads_and_rows_without_id(spark):
+    importable(spark)
+    rows = [(1, "u", "x"), (5, "u", "x"), (5, "u", "UNIQUE"), (5, "v", "x"), (3, "u", "UNIQUE"), (None, "a", "x"), (None, "b", "x")]
+    back = warc.fetch(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))).collect()
+    got = sorted((-1 if r.page_id is None else r.page_id, r.url, r.record_type, r.refers_to or 0, bytes(r.payload or b"").decode()) for r in back)
+    assert got == [(-1, "a", "response", 0, "x"), (-1, "b", "response", 0, "x"), (1, "u", "response", 0, "x"), (3, "u", "response", 0, "UNIQUE"), (5, "u", "revisit", 1, ""), (5, "u", "revisit", 3, ""), (5, "v", "revisit", 1, "")]
+
+
+def test_payloads_that_pack_well_come_in_batches(spark, monkeypatch):
+    importable(spark)
+    monkeypatch.setattr(warc, "BYTES_A_BATCH", 1 << 20)
+    pages = spark.range(12).selectExpr("id AS page_id", "'u' AS url", "concat(id, repeat('z', 900000)) AS html").coalesce(1)
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.fetch(warc.write(pages)).select("page_id", "payload_bytes").collect()) == [(i, 900_000 + len(str(i))) for i in range(12)]
