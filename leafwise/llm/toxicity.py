@@ -3,10 +3,11 @@
 A token that the channel may have touched becomes a lattice: each character stands for itself, for the letters it can
 imitate, or (separators, repeats) for nothing, each at a price. Viterbi search over the last two letters finds the
 reading that is likeliest under a character trigram model of the whole corpus. Tokens that ordinary writing makes as well
-(a doubled letter, a hyphen, a digit) count both as they stand and as they are read. The score of a document
-is that of its most telling feature: words, their beginnings and their ends that toxic texts use far more, where texts
-with one context for a word (copies of a text) count once. A feature that clean texts use as well tells by how often it
-stands in the text against what chance would bring into a text of that length.
+(a doubled letter, a hyphen, a digit) count both as they stand and as they are read. Features are words, their beginnings
+and their ends that toxic texts use far more, where texts with one context for a word (copies of a text) count once. A
+text's evidence is the odds of its most telling feature, by how often it stands in the text against what chance would bring into
+a text of that length; how many tokens tell; and how many of all that is. What it comes to is learned by logistic
+regression on labelled texts that the features were not learned from, for there a feature is never as pure as where it was found.
 """
 
 from __future__ import annotations
@@ -37,9 +38,11 @@ SWAP, DROP, REPEAT, DOUBLE, ODD = 1.5, 0.4, 0.7, 2.5, 14.0
 TEXTS_A_CLASS = {1: 4_000, 0: 8_000}
 #: A feature tells if so many toxic texts use it in contexts of their own, and if the lower bound (Wilson's, at so many
 #: standard deviations) of its toxic share is so high.
-LEAST_CONTEXTS, SURE, LEAST_SHARE, FEATURES = 5, 3.0, 0.3, 20_000
-#: A feature is pure up to this many clean texts a toxic one; a word is looked for in runs of letters up to this rate.
-PURE, RARE = 0.02, 1e-6
+LEAST_CONTEXTS, SURE, LEAST_SHARE = 5, 3.0, 0.3
+#: A feature is pure up to this many clean texts a toxic one; pure words are looked for inside runs of single letters.
+PURE = 0.02
+#: One in so many labelled texts is kept for the regression; its weights are held to what stands for the odds alone, so strongly.
+CALIBRATE, PRIOR, RIDGE = 4, (0.0, 1.0, 0.0, 0.0, 0.0), 0.1
 BEGINNINGS, ENDS = (4, 5, 6, 7, 8), (5,)
 #: Distinct tokens with the feature that a toxic text is taken to hold beyond chance, on average.
 EXTRA = 2.0
@@ -48,6 +51,7 @@ THRESHOLD = 0.3
 
 _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 _SWAPS = {c: [(x, _INDEX[x], SWAP) for x in letters] for c, letters in LEET.items()}
+# Runs of up to three single characters are ordinary writing: initials, lists, formulas.
 _SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
 _SURE = re.compile(r"[^\W\d_][0-9@$!|+(<€£¡§*]+[^\W\d_]|^[0-9@$!|+(<€£¡§]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$|+(<€£¡§]+[.,;:?!\"')]*$|([^\W\d_])\1\1|(?:^|[^\w])[^\W_](?:[.\-_*~'`^,:;/\\#=\u200b\u00ad][^\W_]){3,}|[^\W\d_][\u200b\u00ad*][^\W\d_]")
 _DOUBLED = re.compile(r"([^\W\d_])\1", re.IGNORECASE)
@@ -119,8 +123,8 @@ def _flat(model: np.ndarray) -> list[float]:
 def viterbi(token: str, model: np.ndarray) -> str:
     """The likeliest reading of a token. Ties go to the reading that was found first, in the order of the options."""
     flat = _flat(model)
-    # A state is the last two letters, as two digits to the base SIDE.
-    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    # A state is the last two letters, as two digits to the base SIDE; a way points back to the one it goes on from.
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     lower = token.lower()
     for k, c in enumerate(lower):
         options: list[tuple[str, int, float]] = []
@@ -136,8 +140,8 @@ def viterbi(token: str, model: np.ndarray) -> str:
             options.append(("", 0, REPEAT if longer else DOUBLE))
         elif not options or c in LEET:
             options.append(("", 0, ODD))
-        new: dict[int, tuple[float, str]] = {}
-        for state, (score, so_far) in states.items():
+        new: dict[int, tuple[float, tuple | None]] = {}
+        for state, (score, way) in states.items():
             for letter, i, price in options:
                 if i:
                     at = state * SIDE + i
@@ -145,9 +149,14 @@ def viterbi(token: str, model: np.ndarray) -> str:
                 else:
                     key, value = state, score - price
                 if key not in new or value > new[key][0]:
-                    new[key] = (value, so_far + letter)
+                    new[key] = (value, (way, letter) if i else way)
         states = new
-    return max(states.items(), key=lambda x: x[1][0] + flat[x[0] * SIDE])[1][1]
+    way = max(states.items(), key=lambda x: x[1][0] + flat[x[0] * SIDE])[1][1]
+    out = []
+    while way:
+        way, letter = way
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 def touched(token: str) -> bool:
@@ -201,8 +210,9 @@ def features(token: str) -> list[str]:
 class Model:
     letters: np.ndarray
     base: float = 0.0
-    #: Of each telling feature: the share of toxic texts that use it, and its rate among the words of clean texts.
-    told: dict[str, tuple[float, float]] = field(default_factory=dict)
+    #: Of each telling feature: the share of toxic texts that use it, its rate among the words of clean texts, whether it is pure.
+    told: dict[str, tuple[float, float, bool]] = field(default_factory=dict)
+    weights: tuple[float, ...] = PRIOR
 
 
 class _Tokens(dict):
@@ -226,21 +236,46 @@ class Scorer:
         self.model = model
         self.tokens = _Tokens(model)
         #: Whole words to look for inside a run of single characters, which may hold several.
-        self.words = [f for f, (_, rate) in model.told.items() if len(f) > 3 and "-" not in f and rate <= RARE]
+        self.words = [f for f, (_, _, pure) in model.told.items() if len(f) > 3 and "-" not in f and pure]
 
-    def score(self, text: str) -> float:
-        model, odds = self.model, 0.0
+    def evidence(self, text: str) -> tuple[float, int, int]:
+        """Log odds by the most telling feature, tokens that tell, tokens; distinct tokens are counted. Nothing tells: (-inf, 0, tokens)."""
+        model, odds = self.model, -math.inf
         tokens = set(text.split())
         hits = [h for h in map(self.tokens.__getitem__, tokens) if h]
         for m in _SPACED.finditer(text):
             run = viterbi(m[0], model.letters)
             hits += [h for h in (self.tokens[run], *(self.tokens[w] for w in self.words if w in run)) if h]
         for feature, k in Counter(f for h in hits for f in h).items():
-            use, rate = model.told[feature]
-            chance = rate * len(tokens)
-            odds = max(odds, use * math.exp(-EXTRA + min(k, 50) * math.log1p(EXTRA / chance)))
-        odds *= model.base / max(1e-9, 1 - model.base)
-        return max(odds / (1 + odds), 0.2 * model.base)
+            use, rate, _ = model.told[feature]
+            odds = max(odds, math.log(use) - EXTRA + k * math.log1p(EXTRA / (rate * len(tokens))))
+        return odds + math.log(max(1e-9, model.base) / max(1e-9, 1 - model.base)), len(hits), len(tokens)
+
+    def score(self, text: str) -> float:
+        odds, hits, tokens = self.evidence(text)
+        least = 0.2 * self.model.base
+        if not hits:
+            return least
+        z = float(np.dot(self.model.weights, signals(odds, hits, tokens)))
+        return max(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), least)
+
+
+def signals(odds: float, hits: int, tokens: int) -> tuple[float, ...]:
+    """What the regression sees of a text in which something tells."""
+    return 1.0, max(-10.0, min(10.0, odds)), float(hits > 1), float(hits > 2), math.log(hits / (tokens + 20.0))
+
+
+def regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Weights of a logistic regression by Newton's method, held to the prior by the ridge; the prior if there is nothing to learn from."""
+    prior = np.array(PRIOR)
+    w = prior.copy()
+    for _ in range(50 if len(x) else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w)), x.T @ (weight * (y - p)) - RIDGE * (w - prior))
+        w = w + step * min(1.0, 5.0 / max(1e-9, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-6:
+            break
+    return tuple(map(float, w))
 
 
 def learn(docs: DataFrame, labels: DataFrame, letters: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -254,7 +289,10 @@ def learn(docs: DataFrame, labels: DataFrame, letters: np.ndarray, *, id_col: st
         return Model(letters, 0.0, {})
     part = F.when(F.col("toxic_") == 1, TEXTS_A_CLASS[1] / totals[1]).otherwise(TEXTS_A_CLASS[0] / max(1, totals.get(0, 0)))
     sample = known.where(share_of_ids("id_", part))
-    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("id_")).select(F.col(text_col).alias("text"), F.col("toxic_").alias("toxic"))
+    kept = F.pmod(F.xxhash64("id_", F.lit("regression")), F.lit(CALIBRATE)) == 0
+    chosen = docs.join(F.broadcast(sample), F.col(id_col) == F.col("id_")).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("toxic_").alias("toxic"), kept.alias("kept"))
+    chosen = written(chosen, "tox-sample")
+    rows = chosen.where("NOT kept").select("text", "toxic")
     shared = spark.sparkContext.broadcast(letters)
 
     def run(batches):
@@ -301,17 +339,38 @@ def learn(docs: DataFrame, labels: DataFrame, letters: np.ndarray, *, id_col: st
     p = F.col("bad") / n
     bound = (p + SURE**2 / (2 * n) - SURE * F.sqrt(p * (1 - p) / n + SURE**2 / (4 * n * n))) / (1 + SURE**2 / n)
 
+    pure_ = F.col("good") * F.lit(weight) <= PURE * F.col("bad")
+
     def telling(rows: DataFrame, more: Column) -> DataFrame:
+        """All of them: their number is bounded by the words of the sample's toxic texts."""
         summed = rows.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        return summed.where(F.col("bad") >= LEAST_CONTEXTS).where(bound >= LEAST_SHARE).where(more).orderBy(F.desc("bad"), "feature").limit(FEATURES)
+        return summed.where(F.col("bad") >= LEAST_CONTEXTS).where(bound >= LEAST_SHARE).where(more).withColumn("pure", pure_)
 
     # First what hardly any clean text uses; what else tells must do so by words that hold none of that.
-    pure = written(telling(exploded, F.col("good") * F.lit(weight) <= PURE * F.col("bad")), "tox-pure")
+    pure = written(telling(exploded, pure_), "tox-pure")
     covered = exploded.join(pure.select("feature"), "feature", "left_semi").select("word").distinct()
     best = pure.unionByName(telling(exploded.join(covered, "word", "left_anti"), F.lit(True)))
-    toxic = min(totals[1], TEXTS_A_CLASS[1])
+    toxic = max(1.0, min(totals[1], TEXTS_A_CLASS[1]) * (CALIBRATE - 1) / CALIBRATE)
     words_read = words.agg(F.sum("good")).first()[0] or 1
-    return Model(letters, base, {r["feature"]: (min(1.0, r["bad"] / toxic), (r["good"] + 0.1) / words_read) for r in best.collect()})
+    model = Model(letters, base, {r["feature"]: (min(1.0, r["bad"] / toxic), (r["good"] + 0.1) / words_read, r["pure"]) for r in best.collect()})
+    if not model.told:
+        return model
+    first = spark.sparkContext.broadcast(model)
+
+    def weigh(batches):
+        scorer = Scorer(first.value)
+        for batch in batches:
+            seen = [(*scorer.evidence(text), toxic_) for text, toxic_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            # Copies of a text tell once, as they do among the features.
+            told = [x for x in set(seen) if x[1]]
+            if told:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told, strict=True), (pa.float64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["odds", "hits", "tokens", "toxic"])
+
+    seen = chosen.where("kept").select("text", "toxic").mapInArrow(tidy(weigh), "odds double, hits long, tokens long, toxic int").distinct().orderBy("odds", "hits", "tokens", "toxic").collect()
+    if seen:
+        x, y = np.array([signals(r["odds"], r["hits"], r["tokens"]) for r in seen]), np.array([r["toxic"] for r in seen], float)
+        model.weights = regression(x, y, np.where(y > 0, 1.0, weight))
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

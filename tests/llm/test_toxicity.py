@@ -1,5 +1,6 @@
 """Restoring and scoring."""
 
+import math
 import os
 
 import numpy as np
@@ -35,7 +36,7 @@ def test_one_doubled_letter_or_one_separator(letters, hidden, plain):
     if hidden[0] != "(":
         assert toxicity.restore_token(hidden, letters) == plain
     assert plain in toxicity.readings(hidden, letters)
-    model = toxicity.Model(letters, 0.1, {plain: (0.5, 1e-7)})
+    model = toxicity.Model(letters, 0.1, {plain: (0.5, 1e-7, True)})
     assert toxicity.Scorer(model).score(f"the people were reading the {hidden} of it") > toxicity.THRESHOLD > toxicity.Scorer(model).score("the people were reading of it")
 
 
@@ -76,7 +77,8 @@ def test_held_out(spark):
     model = toxicity.learn(docs, labels.where(~held_out()), toxicity.character_model(docs))
     rows = toxicity.score_documents(docs.join(labels, "doc_id").where(held_out()), model).collect()
     toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
-    assert np.mean([r.predicted for r in toxic]) > 0.9 and np.mean([r.predicted for r in clean]) < 0.08
+    caught, wrong = sum(r.predicted for r in toxic), sum(r.predicted for r in clean)
+    assert caught >= 0.94 * len(toxic) and caught >= 0.97 * (caught + wrong) and wrong <= 0.01 * len(clean)
     hidden = toxicity.Scorer(model).score("the 1d1ot and the ththre $cum of it")
     assert hidden > 0.3
 
@@ -87,3 +89,27 @@ def test_rows_and_no_labels(spark, table, letters):
     got = toxicity.score_documents(docs, model, names=("s_", "p_")).collect()
     assert len(got) == 4 and {r.s_ for r in got} == {0.0} and {r.p_ for r in got} == {0}
     assert toxicity.score_documents(docs.limit(0), model, keep=["doc_id"]).count() == 0
+
+
+def test_evidence_is_that_of_a_plain_count(letters):
+    told = {"idiot": (0.4, 1e-5, True), "idio-": (0.5, 2e-5, False), "scum": (0.2, 1e-6, True)}
+    text = "the idiot said scum and the idiot said scum! idiots read on " + "w " * 0 + " ".join(f"word{i}" for i in range(20))
+    tokens = set(text.split())
+    counts = {f: sum(f in toxicity.features(t) for t in tokens) for f in told}
+    want = max(math.log(told[f][0]) - toxicity.EXTRA + k * math.log(1 + toxicity.EXTRA / (told[f][1] * len(tokens))) for f, k in counts.items() if k) + math.log(0.1 / 0.9)
+    odds, hits, n = toxicity.Scorer(toxicity.Model(letters, 0.1, told)).evidence(text)
+    assert (counts, hits, n) == ({"idiot": 1, "idio-": 2, "scum": 2}, 4, len(tokens)) and odds == pytest.approx(want)
+    assert toxicity.Scorer(toxicity.Model(letters, 0.1, told)).evidence("") == (-math.inf, 0, 0)
+
+
+def test_regression_finds_weights_and_keeps_the_prior():
+    draw = np.random.default_rng(1)
+    x = np.column_stack([np.ones(4_000), draw.normal(size=(4_000, 4))])
+    true = np.array([-1.0, 1.5, 0.5, 0.0, -0.5])
+    y = (draw.random(4_000) < 1 / (1 + np.exp(-x @ true))).astype(float)
+    assert np.allclose(toxicity.regression(x, y, np.ones(4_000)), true, atol=0.2)
+    assert toxicity.regression(x[:0], y[:0], y[:0]) == toxicity.PRIOR
+
+
+def test_very_long_tokens(letters):
+    assert len(toxicity.viterbi("st00pid1" * 25_000, letters)) > 100_000
