@@ -21,7 +21,8 @@ BITS = 17
 ALPHA = 0.05
 #: About so many labelled texts of each language at most are learned from, those whose hash of the id is small enough.
 TEXTS_A_LANGUAGE = 2_000
-ROUNDS = 8
+#: A document's proportions are settled when none moves by more than this in a round; the rounds are limited.
+SETTLED, MOST_ROUNDS = 1e-3, 100
 CHARS_AT_ONCE = 1_000_000
 UNDETERMINED = "und"
 
@@ -81,18 +82,25 @@ def word_likelihoods(text: str, model: Model) -> np.ndarray:
     return np.concatenate(rows) if rows else np.zeros((0, len(model.languages)), np.float32)
 
 
-def _em(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions after the rounds, and the log likelihood of each document under them."""
-    count = np.diff(np.append(starts, len(like))).astype(np.float32)[:, None]
-    for _ in range(rounds):
-        resp = like * share[doc]
+def _em(like: np.ndarray, count: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Settled proportions, and the log likelihood of each document under them. count: words of each document; those that have
+    settled are left out of further rounds."""
+    share, own, words, n = share.copy(), np.arange(len(share)), like, count
+    for _ in range(MOST_ROUNDS):
+        part = share[own]
+        resp = words * np.repeat(part, n, axis=0)
         resp /= np.maximum(resp.sum(axis=1, keepdims=True), 1e-30)
-        share = np.add.reduceat(resp, starts, axis=0) / count
-    fit = np.log(np.maximum((like * share[doc]).sum(axis=1), 1e-30))
-    return share, np.add.reduceat(fit.astype(np.float64), starts)
+        share[own] = np.add.reduceat(resp, np.cumsum(n) - n, axis=0) / n[:, None].astype(np.float32)
+        open_ = np.abs(share[own] - part).max(axis=1) > SETTLED
+        if not open_.all():
+            words, own, n = words[np.repeat(open_, n)], own[open_], n[open_]
+        if not len(own):
+            break
+    fit = np.log(np.maximum((like * np.repeat(share, count, axis=0)).sum(axis=1), 1e-30))
+    return share, np.add.reduceat(fit.astype(np.float64), np.cumsum(count) - count)
 
 
-def infer(texts: list[str], model: Model, largest: int | None = None, rounds: int = ROUNDS) -> list[tuple[str, float, list[str], list[float]]]:
+def infer(texts: list[str], model: Model, largest: int | None = None) -> list[tuple[str, float, list[str], list[float]]]:
     """(language, score, language set, proportions) of each text; sets of all sizes are tried, or up to the largest."""
     none = (UNDETERMINED, 0.0, [], [])
     out: list[tuple[str, float, list[str], list[float]]] = [none] * len(texts)
@@ -103,12 +111,11 @@ def infer(texts: list[str], model: Model, largest: int | None = None, rounds: in
     logs = np.concatenate([found[k] for k in some])
     size = np.array([len(found[k]) for k in some])
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-    doc = np.repeat(np.arange(len(some)), size)
     n = len(model.languages)
     single = np.add.reduceat(logs.astype(np.float64), starts, axis=0)
     like = np.exp(logs - logs.max(axis=1, keepdims=True))
     share = np.full((len(some), n), 1.0 / n, np.float32)
-    share, _ = _em(like, doc, starts, share, rounds)
+    share, _ = _em(like, size, share)
     order = np.argsort(-share, axis=1, kind="stable")
     best = single.argmax(axis=1)
     top = np.add.reduceat(logs.max(axis=1).astype(np.float64), starts)
@@ -120,7 +127,7 @@ def infer(texts: list[str], model: Model, largest: int | None = None, rounds: in
         allowed = np.zeros_like(share)
         np.put_along_axis(allowed, order[:, :k], 1, axis=1)
         part = np.maximum(share, 1e-4) * allowed
-        part, fit = _em(like, doc, starts, part / part.sum(axis=1, keepdims=True), rounds // 2)
+        part, fit = _em(like, size, part / part.sum(axis=1, keepdims=True))
         now = -2 * fit + (2 * k - 1) * penalty
         better = now < cost
         chosen[better], cost[better] = part[better], now[better]

@@ -1,7 +1,10 @@
 """Held-out accuracy, mixtures, and texts that tell nothing."""
 
+import itertools
 import os
+import random
 
+import numpy as np
 import pytest
 
 from leafwise.llm import langid
@@ -56,14 +59,48 @@ def test_stretches_change_nothing(monkeypatch, spark, table):
     assert (langid.word_likelihoods(text, model) == want).all()
 
 
-def test_em_raises_the_likelihood():
-    import numpy as np
-
+def test_em_raises_the_likelihood(monkeypatch):
+    monkeypatch.setattr(langid, "MOST_ROUNDS", 1)
     draw = np.random.default_rng(0)
     like = draw.random((50, 3)).astype(np.float32)
-    doc, starts = np.zeros(50, int), np.array([0])
     share, last = np.full((1, 3), 1 / 3, np.float32), -np.inf
     for _ in range(5):
-        share, fit = langid._em(like, doc, starts, share, 1)
+        share, fit = langid._em(like, np.array([50]), share)
         assert fit[0] >= last - 1e-4
         last = fit[0]
+
+
+def plain_mixture(like, held):
+    """Proportions of the languages held, after many rounds, and the log likelihood; one document, double precision."""
+    share = np.zeros(like.shape[1])
+    share[held] = 1 / len(held)
+    for _ in range(3_000):
+        resp = like * share
+        share = (resp / resp.sum(axis=1, keepdims=True)).mean(axis=0)
+    return share, float(np.log((like * share).sum(axis=1)).sum())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_sets_equal_the_best_of_all_subsets(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.learn(docs.where(~held_out()))
+    draw, words = random.Random(7), {r.lang: r.text.split() for r in docs.where("n_chars > 1500").collect()}
+    texts = []
+    for k in range(60):
+        some = draw.sample(model.languages, 1 + k % 4)
+        texts.append(" ".join(w for x in some for w in draw.sample(words[x], draw.randint(2, 60))))
+    same = 0
+    for text, (main, _, langs, shares) in zip(texts, langid.infer(texts, model), strict=True):
+        logs = langid.word_likelihoods(text, model).astype(float)
+        like, n = np.exp(logs - logs.max(axis=1, keepdims=True)), len(logs)
+        every = [list(c) for k in range(1, 5) for c in itertools.combinations(range(len(model.languages)), k)]
+        costs = [-2 * plain_mixture(like, c)[1] + (2 * len(c) - 1) * np.log(max(n, 2)) for c in every]
+        best = every[int(np.argmin(costs))]
+        same += {model.languages[i] for i in best} == set(langs)
+        if {model.languages[i] for i in best} == set(langs):
+            share, _ = plain_mixture(like, best)
+            assert np.allclose([share[model.languages.index(x)] for x in langs], shares, atol=0.02) and main == model.languages[int(share.argmax())]
+        else:  # only where two sets cost nearly the same
+            mine = every.index(sorted(model.languages.index(x) for x in langs))
+            assert costs[mine] - min(costs) < 3
+    assert same >= 57
