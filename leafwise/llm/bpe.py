@@ -19,9 +19,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import regex
 
-from .common import tidy
+from .common import tidy, unused
 
 FAR = np.int64(1) << 62
+#: So few pieces of like length are merged one by one, in plain integers; more step together.
+FEW = 12
+# Fixed value: the pattern whose matches never reach over a single space between other characters, see Encoder.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 PIECES_KEPT = 600_000
 SEGMENTS_KEPT = 300_000
@@ -101,7 +105,8 @@ class Ranks:
             step = max(1, (1 << 20) // width)
             for i in range(0, len(found), step):
                 part = found[i : i + step]
-                for k, ids in zip(part, self._merged([pieces[k] for k in part], width), strict=True):
+                merged = self._merged([pieces[k] for k in part], width) if len(part) > FEW else map(self._alone, (pieces[k] for k in part))
+                for k, ids in zip(part, merged, strict=True):
                     out[k] = ids
         return out
 
@@ -171,6 +176,45 @@ class Ranks:
             yield packed[start:end]
             start = end
 
+    def _alone(self, piece: bytes) -> bytes:
+        """One piece by a tree of its own."""
+        n, far = len(piece), int(FAR)
+        width = max(2, 1 << (n - 1).bit_length())
+        shift, rank, parts = width.bit_length(), self.rank, [piece[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def ranked(left: int, right: int) -> int:
+            found = rank.get(parts[left] + parts[right])
+            return far if found is None else found << shift | left
+
+        tree = [far] * width + [ranked(i, i + 1) for i in range(n - 1)] + [far] * (width - n + 1)
+        for node in range(width - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+        def update(position: int, value: int) -> None:
+            node = position + width
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                least = min(tree[2 * node], tree[2 * node + 1])
+                if tree[node] == least:
+                    return
+                tree[node] = least
+
+        while tree[1] < far:
+            left = tree[1] & ((1 << shift) - 1)
+            right = after[left]
+            parts[left] += parts[right]
+            parts[right] = b""
+            after[left] = follow = after[right]
+            update(right, far)
+            update(left, ranked(left, follow) if follow < n else far)
+            if follow < n:
+                before[follow] = left
+            if before[left] >= 0:
+                update(before[left], ranked(before[left], left))
+        return b"".join(rank[p].to_bytes(4, "little") for p in parts if p)
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
@@ -178,12 +222,13 @@ class Ranks:
 class Encoder:
     """Encodes whole texts. A text falls apart at single spaces between other characters, where no match of the
     pattern can reach across; each such segment's ids are kept. A text with other runs of space goes
-    through the pattern as a whole."""
+    through the pattern as a whole, as do all texts if the pattern is another one."""
 
     def __init__(self, ranks: Ranks):
         self.ranks = ranks
         self.pieces: dict[str, bytes] = {}
         self.segments: dict[str, bytes] = {}
+        self.spaced = ranks.pattern.pattern == SPACED
 
     def _learn(self, pieces: Iterable[str]) -> None:
         new = [p for p in pieces if p not in self.pieces]
@@ -220,6 +265,9 @@ class Encoder:
             self.segments[s[1:]] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.spaced:
+            whole = self._parts(set(texts))
+            return [whole[t] for t in texts]
         split = [t.split(" ") for t in texts]
         seen: set[str] = set()
         for found in split:
@@ -261,7 +309,8 @@ def ranks_of(path: str, pattern: str) -> Ranks:
 
 
 def encode_documents(docs, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, keep: tuple[str, ...] = ()):
-    """id_col, ids (array of int), decoded (binary: the bytes of the decoded ids), and the columns in keep.
+    """id_col, ids (array of int), decoded (binary: the bytes of the decoded ids), and the columns in keep; names that clash
+    with those get underscores before them.
 
     A null text is read as an empty one: no ids, no bytes. Rows are independent of each other: repeated rows give
     repeated results, an empty table an empty one.
@@ -270,8 +319,9 @@ def encode_documents(docs, vocabulary: str, pattern: str, *, id_col: str = "doc_
     from pyspark.sql import functions as F
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c) for c in keep])
+    own = unused(chosen, "ids", "decoded")[: 1 + decode]
     fields = [f.simpleString().replace(":", "` ", 1) for f in chosen.schema.fields if f.name != "text"]
-    schema = ", ".join(["`" + f for f in fields] + ["ids array<int>"] + ["decoded binary"] * decode)
+    schema = ", ".join(["`" + f for f in fields] + [f"`{name}` {kind}" for name, kind in zip(own, ("array<int>", "binary"), strict=False)])
 
     def run(batches):
         encoder = Encoder(ranks_of(vocabulary, pattern))
@@ -285,7 +335,7 @@ def encode_documents(docs, vocabulary: str, pattern: str, *, id_col: str = "doc_
                 columns = rest.slice(a, b - a).columns + [lists]
                 if decode:
                     columns.append(pa.array([encoder.ranks.decode(x) for x in ids], type=pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=rest.schema.names + ["ids"] + ["decoded"] * decode)
+                yield pa.RecordBatch.from_arrays(columns, names=rest.schema.names + own)
 
     return chosen.mapInArrow(tidy(run), schema)
 

@@ -62,3 +62,31 @@ def test_rows(spark, table):
     assert sorted((r.doc_id or 0, r.n_tokens, r.decoded_sha256 == empty) for r in rows) == [(0, 0, True), (1, 2, False), (1, 2, False), (2, 0, True)]
     full = bpe.encode_documents(docs.withColumnRenamed("lang", "ids_"), PATH, P.PATTERN, keep=("source",)).orderBy("doc_id").collect()
     assert [(r.source, bytes(r.decoded).decode()) for r in full][-1] == (None, "") and bpe.digest_documents(docs.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_lone_long_pieces_and_many_agree():
+    draw = random.Random(2)
+    pieces = [bytes(draw.choice(b"aberst") for _ in range(draw.choice([3, 900, 1_000, 20_000]))) for _ in range(6)] + [b"ab", b"a" * 700]
+    whole = tiktoken.Encoding("one", pat_str=r"[\s\S]+", mergeable_ranks=RANKS.rank, special_tokens={})
+    for piece in pieces:
+        assert ids(RANKS._alone(piece)) == whole.encode_ordinary(piece.decode())
+        if len(piece) < 1_100:
+            width = max(2, 1 << (len(piece) - 1).bit_length())
+            assert list(RANKS._merged([piece] * 2, width)) == [RANKS._alone(piece)] * 2
+    long = bytes(draw.choice(b"aberstxyz") for _ in range(300_000))
+    assert RANKS.decode(RANKS.encode_pieces([long])[0]) == long
+
+
+def test_other_patterns_take_whole_texts():
+    pattern = r"[\s\S]{1,7}"
+    encoder = bpe.Encoder(bpe.ranks_of(PATH, pattern))
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=RANKS.rank, special_tokens={})
+    texts = ["the quick people, were reading.", "a b c d", ""]
+    assert [ids(x) for x in encoder.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+    assert bpe.Encoder(RANKS).spaced and not encoder.spaced
+
+
+def test_clashing_names(spark, table):
+    docs = table([(1, "Hello there", "en", "a", 1)]).withColumnRenamed("lang", "ids").withColumnRenamed("source", "decoded")
+    row = bpe.encode_documents(docs, PATH, P.PATTERN, keep=("ids", "decoded")).first().asDict()
+    assert row["ids"] == "en" and row["decoded"] == "a" and row["_ids"] == LIBRARY.encode_ordinary("Hello there") and bytes(row["_decoded"]) == b"Hello there"
