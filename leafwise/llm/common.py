@@ -29,26 +29,49 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A session without one (as in tests) gets its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share. A local session without one (as in tests) gets its own; on a cluster there must be one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share with the driver")
         found = "file://" + tempfile.mkdtemp(prefix="leafwise-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder of all tables that this application writes; discard() deletes it."""
+    return f"{shared_dir(spark)}/leafwise-{spark.sparkContext.applicationId}"
+
+
 def fresh(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/leafwise/{tag}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors, is computed once."""
     path = fresh(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that written() gave, when all that was made of them has been written as well."""
+    for table in tables:
+        _delete(table.sparkSession, table.written_to)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete every table of this application, once its results have been read or stored."""
+    _delete(spark, own_dir(spark))
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:

@@ -19,6 +19,7 @@ those that pass leave it. Candidates are verified exactly on whole texts, one ce
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import parts_of
-from .common import WORD, tidy, unused, written
+from .common import WORD, forget, tidy, unused, written
 
-COUNTERS, CHUNK = 1 << 20, 1 << 16
+#: Counters of the count sketch, as powers of 2: so few and so many, and between them one for so many characters.
+FEWEST, MOST, CHARS_A_COUNTER, CHUNK = 20, 24, 768, 1 << 16
 NODES_KEPT = 500_000
 CHARS_AT_ONCE, BYTES_AT_ONCE = 2_000_000, 4 << 20
-TILE = 512
+TILE = 2_048
 #: Candidates of a centre that one task verifies.
 SPREAD = 64
 #: Rounds with a middle node for centre, after the first and before all pairs across components.
@@ -110,11 +112,17 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def node_of(found: np.ndarray) -> int:
-    """The id of a set: a hash of its elements."""
+def node_of(found: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """The id of a set, and a second number that tells whether two sets share an id: a hash of its elements."""
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
+    value = xxhash.xxh3_128_intdigest(found.tobytes(), seed)
+    return tuple(np.array([value & 0xFFFFFFFFFFFFFFFF, value >> 64], np.uint64).astype(np.int64).tolist())
+
+
+def counters_for(chars: int) -> int:
+    """The number of counters for a corpus of so many characters."""
+    return 1 << min(MOST, max(FEWEST, (chars // CHARS_A_COUNTER).bit_length()))
 
 
 def band(n: int) -> int:
@@ -178,7 +186,7 @@ def pieces(sets: list[np.ndarray], counts: np.ndarray, measure: Measure) -> tupl
     order = np.argsort(entry.astype(np.int64) << 32 | place, kind="stable")
     entry, place, value = entry[order], place[order], value[order]
     starts = np.flatnonzero(np.concatenate([[True], (entry[1:] != entry[:-1]) | (place[1:] != place[:-1])]))
-    seen = counts[(value >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)]
+    seen = counts[(value >> np.uint64(20)).astype(np.int64) & (len(counts) - 1)]
     rare = np.minimum.reduceat(seen, starts)
     key = np.bitwise_xor.reduceat(value, starts)
     entry, place = entry[starts], place[starts]
@@ -201,35 +209,34 @@ def pieces(sets: list[np.ndarray], counts: np.ndarray, measure: Measure) -> tupl
     return np.array(who)[entry[kept]], key[kept].astype(np.int64)
 
 
-def _prepared(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, mark (of the text), n, node (id of the set), sketch of each document; and in rows of their own the counts of all elements, in chunks."""
+def _prepared(docs: DataFrame, width: int, counters: int, seed: int) -> DataFrame:
+    """doc_id, mark (of the text), n, node (id of the set), check, sketch of each document; and in rows of their own the counts of all elements, in chunks."""
     import pyarrow as pa
 
-    names = ["doc_id", "mark", "n", "node", "sketch", "chunk", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    names = ["doc_id", "mark", "n", "node", "check", "sketch", "chunk", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches):
-        counts, any_ = np.zeros(COUNTERS, np.int64), False
+        counts, any_ = np.zeros(counters, np.uint32), False
         for batch in batches:
             ids, marks, texts = (batch.column(c).to_pylist() for c in range(3))
             for a, b in parts_of([t or "" for t in texts], CHARS_AT_ONCE):
                 sets = shingle_sets(texts[a:b], width)
                 every = np.concatenate(sets)
                 any_ = any_ or len(every) > 0
-                counts += np.bincount((every >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1), minlength=COUNTERS)
-                rows = [(doc_id, mark, len(x), node_of(x) if len(x) else None, sketch(x) if len(x) else None, None, None) for doc_id, mark, x in zip(ids[a:b], marks[a:b], sets, strict=True)]
+                np.add.at(counts, (every >> np.uint64(20)).astype(np.int64) & (counters - 1), np.uint32(1))
+                rows = [(doc_id, mark, len(x), *(node_of(x, seed) if len(x) else (None, None)), sketch(x) if len(x) else None, None, None) for doc_id, mark, x in zip(ids[a:b], marks[a:b], sets, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-        counts = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
         if any_:
-            for i in range(COUNTERS // CHUNK):
-                row = (None, None, None, None, None, i, counts[i * CHUNK : (i + 1) * CHUNK].tobytes())
+            for i in range(counters // CHUNK):
+                row = (None, None, None, None, None, None, i, counts[i * CHUNK : (i + 1) * CHUNK].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types, strict=True)], names=names)
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(tidy(run), "doc_id long, mark long, n long, node long, sketch binary, chunk int, counts binary")
+    return docs.select("doc_id", "mark", "text").mapInArrow(tidy(run), "doc_id long, mark long, n long, node long, check long, sketch binary, chunk int, counts binary")
 
 
-def _total_counts(chunks: DataFrame) -> np.ndarray:
-    """The counters summed over all tasks: a fixed 4 MB."""
+def _total_counts(chunks: DataFrame, counters: int) -> np.ndarray:
+    """The counters summed over all tasks: 4 to 64 MB."""
     import pandas as pd
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -238,13 +245,13 @@ def _total_counts(chunks: DataFrame) -> np.ndarray:
             total += np.frombuffer(raw, np.uint32)
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
 
-    out = np.zeros(COUNTERS, np.uint32)
+    out = np.zeros(counters, np.uint32)
     for row in chunks.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
         out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.uint32)
     return out
 
 
-def _filed(docs: DataFrame, counts: np.ndarray, width: int, measure: Measure) -> DataFrame:
+def _filed(docs: DataFrame, counts: np.ndarray, width: int, measure: Measure, seed: int) -> DataFrame:
     """(key, node): the pieces of each set, once for each task that meets it."""
     import pyarrow as pa
 
@@ -255,7 +262,7 @@ def _filed(docs: DataFrame, counts: np.ndarray, width: int, measure: Measure) ->
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in parts_of(texts, CHARS_AT_ONCE):
-                new = {node: x for x in shingle_sets(texts[a:b], width) if len(x) and (node := node_of(x)) not in met}
+                new = {node: x for x in shingle_sets(texts[a:b], width) if len(x) and (node := node_of(x, seed)[0]) not in met}
                 met.update(new)
                 if len(met) > NODES_KEPT:
                     met.clear()
@@ -294,7 +301,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, m
     pairs = written(pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SPREAD))), "jaccard-candidates")
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("any.doc_id").alias("id"), F.col("any.mark").alias("text_mark"))
     same = docs["doc_id"].eqNullSafe(used["id"]) & (docs["mark"] == used["text_mark"])
-    texts = written(docs.join(used.hint("shuffle_hash"), same).select("node", "text"), "jaccard-texts").groupBy("node").agg(F.first("text").alias("text"))
+    whole = written(docs.join(used.hint("shuffle_hash"), same).select("node", "text"), "jaccard-texts")
+    texts = whole.groupBy("node").agg(F.first("text").alias("text"))
     centres = pairs.select("a", "part").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     others = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "text")
     dealt = centres.unionByName(others)
@@ -318,7 +326,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, m
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
-    return written(dealt.mapInArrow(tidy(run), "a long, b long"), "jaccard-links")
+    links = written(dealt.mapInArrow(tidy(run), "a long, b long"), "jaccard-links")
+    forget(pairs, whole)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -326,6 +336,7 @@ def components(edges: DataFrame) -> DataFrame:
     shortcuts; each round is written, rounds grow with the logarithm of the longest path."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "jaccard-edges")
     labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "jaccard-labels")
+    last = labels
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", "label", F.least("label", "near").alias("new"))
@@ -335,8 +346,10 @@ def components(edges: DataFrame) -> DataFrame:
         jump = step.select(F.col("node").alias("at"), F.col("new").alias("jump"))
         step = step.join(jump, F.col("new") == F.col("at"), "left").select("node", "label", F.least("new", "jump").alias("new"))
         step = written(step, "jaccard-labels")
-        labels = step.select("node", F.col("new").alias("label"))
+        forget(last)
+        last, labels = step, step.select("node", F.col("new").alias("label"))
         if step.where("label <> new").isEmpty():
+            forget(both)
             return labels
 
 
@@ -416,11 +429,16 @@ def classes(docs: DataFrame, *, width: int = 5, part: int = 80, whole: int = 100
     """
     measure = Measure(part, whole)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
-    prepared = written(_prepared(docs, width), "jaccard-sets")
-    slim = prepared.where("chunk IS NULL").select("doc_id", "mark", "n", "node", "sketch")
-    counts = _total_counts(prepared.where("chunk IS NOT NULL").select("chunk", "counts"))
-    nodes = written(slim.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "mark")).alias("any"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "jaccard-nodes")
-    filed = _filed(docs, counts, width, measure)
+    counters = counters_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    for seed in itertools.count():
+        prepared = written(_prepared(docs, width, counters, seed), "jaccard-sets")
+        slim = prepared.where("chunk IS NULL").select("doc_id", "mark", "n", "node", "check", "sketch")
+        nodes = written(slim.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "mark")).alias("any"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("check").alias("low"), F.max("check").alias("high")), "jaccard-nodes")
+        # Two sets with one id, which 64 bits don't rule out at any size, are hashed anew.
+        if nodes.where("low <> high").isEmpty():
+            break
+    counts = _total_counts(prepared.where("chunk IS NOT NULL").select("chunk", "counts"), counters)
+    filed = _filed(docs, counts, width, measure, seed)
     group = Window.partitionBy("key")
     centred = filed.withColumn("centre", F.min("node").over(group)).withColumn("last", F.max("node").over(group))
     shared = written(centred.where("centre <> last").select("key", "node", "centre"), "jaccard-groups")
@@ -436,6 +454,7 @@ def classes(docs: DataFrame, *, width: int = 5, part: int = 80, whole: int = 100
         middle = ranked.groupBy("key").agg(F.max(F.struct("rank", "label")).alias("m")).select("key", F.col("m.rank.node").alias("a"), F.col("m.label").alias("a_label"))
         star = rest.join(middle, "key").where("label <> a_label").select("a", F.col("node").alias("b")).distinct()
         star = written(_tested(star, nodes, measure).join(tried, ["a", "b"], "left_anti"), "jaccard-star")
+        forget(rest)
         more = _verified(star, nodes, docs, width, measure)
         tried = tried.union(star)
         if more.isEmpty():

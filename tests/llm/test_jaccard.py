@@ -76,7 +76,7 @@ def test_few_elements_in_few_pieces():
     """Sets whose elements fall into one piece still share a key with their kin."""
     measure = jaccard.Measure(85, 100)
     draw = np.random.default_rng(0)
-    counts = np.zeros(jaccard.COUNTERS, np.uint32)
+    counts = np.zeros(1 << jaccard.FEWEST, np.uint32)
     for n in range(6, 40):
         for _ in range(30):
             high = np.uint64(draw.integers(0, 2**31)) << np.uint64(32)
@@ -111,3 +111,22 @@ def test_long_texts_in_stretches(monkeypatch):
     monkeypatch.setattr(jaccard, "BYTES_AT_ONCE", 5000)
     got = jaccard.shingle_sets([text, "a b"], 4)
     assert all(np.array_equal(x, y) for x, y in zip(want, got, strict=True))
+
+
+def test_ids_of_sets_and_counters():
+    x = np.arange(5, dtype=np.uint64)
+    assert jaccard.node_of(x) != jaccard.node_of(x, 1) and len(set(jaccard.node_of(x) + jaccard.node_of(x[:4]))) == 4
+    assert jaccard.counters_for(0) == jaccard.counters_for(500 << 20) == 1 << 20
+    assert jaccard.counters_for(8 << 30) == 1 << 24 == jaccard.counters_for(100 << 40)
+
+
+def test_tables_of_an_application_are_discarded(spark):
+    import os
+
+    from leafwise.llm import common
+
+    table = common.written(spark.range(3).toDF("id"), "some")
+    folder = common.own_dir(spark).removeprefix("file://")
+    assert os.path.isdir(table.written_to.removeprefix("file://"))
+    common.forget(table)
+    assert not os.path.exists(table.written_to.removeprefix("file://")) and os.path.isdir(folder)
