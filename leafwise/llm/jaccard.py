@@ -34,6 +34,8 @@ FEWEST, MOST, CHARS_A_COUNTER, CHUNK = 20, 24, 768, 1 << 16
 NODES_KEPT = 500_000
 CHARS_AT_ONCE, BYTES_AT_ONCE = 2_000_000, 4 << 20
 TILE = 2_048
+#: Tasks whose counters are added in one bundle, bundles in a larger one, and so on, so many times.
+FAN, LEVELS = 16, 3
 #: Candidates of a centre that one task verifies.
 SPREAD = 64
 #: Rounds with a middle node for centre, after the first and before all pairs across components.
@@ -210,8 +212,10 @@ def pieces(sets: list[np.ndarray], counts: np.ndarray, measure: Measure) -> tupl
 
 
 def _prepared(docs: DataFrame, width: int, counters: int, seed: int) -> DataFrame:
-    """doc_id, mark (of the text), n, node (id of the set), check, sketch of each document; and in rows of their own the counts of all elements, in chunks."""
+    """doc_id, mark (of the text), n, node (id of the set), check, sketch of each document; and in rows of their own the counts of all elements, in chunks,
+    with the number of a bundle of tasks for mark."""
     import pyarrow as pa
+    from pyspark import TaskContext
 
     names = ["doc_id", "mark", "n", "node", "check", "sketch", "chunk", "counts"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
@@ -229,24 +233,27 @@ def _prepared(docs: DataFrame, width: int, counters: int, seed: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         if any_:
             for i in range(counters // CHUNK):
-                row = (None, None, None, None, None, None, i, counts[i * CHUNK : (i + 1) * CHUNK].tobytes())
+                row = (None, TaskContext.get().partitionId() // FAN, None, None, None, None, i, counts[i * CHUNK : (i + 1) * CHUNK].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types, strict=True)], names=names)
 
     return docs.select("doc_id", "mark", "text").mapInArrow(tidy(run), "doc_id long, mark long, n long, node long, check long, sketch binary, chunk int, counts binary")
 
 
 def _total_counts(chunks: DataFrame, counters: int) -> np.ndarray:
-    """The counters summed over all tasks: 4 to 64 MB."""
+    """The counters summed over all tasks, first in bundles: 4 to 64 MB."""
     import pandas as pd
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CHUNK, np.uint64)
         for raw in pdf["counts"]:
             total += np.frombuffer(raw, np.uint32)
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "mark": [pdf["mark"].iloc[0]], "counts": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
 
     out = np.zeros(counters, np.uint32)
-    for row in chunks.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
+    kind = "chunk int, mark long, counts binary"
+    for _ in range(LEVELS):
+        chunks = chunks.groupBy("chunk", "mark").applyInPandas(add, kind).withColumn("mark", F.floor(F.col("mark") / FAN))
+    for row in chunks.groupBy("chunk").applyInPandas(add, kind).collect():
         out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.uint32)
     return out
 
@@ -437,7 +444,7 @@ def classes(docs: DataFrame, *, width: int = 5, part: int = 80, whole: int = 100
         # Two sets with one id, which 64 bits don't rule out at any size, are hashed anew.
         if nodes.where("low <> high").isEmpty():
             break
-    counts = _total_counts(prepared.where("chunk IS NOT NULL").select("chunk", "counts"), counters)
+    counts = _total_counts(prepared.where("chunk IS NOT NULL").select("chunk", "mark", "counts"), counters)
     filed = _filed(docs, counts, width, measure, seed)
     group = Window.partitionBy("key")
     centred = filed.withColumn("centre", F.min("node").over(group)).withColumn("last", F.max("node").over(group))

@@ -13,6 +13,7 @@ regression on labelled texts that the features were not learned from, for there
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -26,7 +27,7 @@ from .common import map_texts, share_of_ids, tidy, written
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
-SIDE = 64
+SIDE, SETTLE = 64, 64
 #: What a character of the channel's output may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -123,8 +124,9 @@ def _flat(model: np.ndarray) -> list[float]:
 def viterbi(token: str, model: np.ndarray) -> str:
     """The likeliest reading of a token. Ties go to the reading that was found first, in the order of the options."""
     flat = _flat(model)
-    # A state is the last two letters, as two digits to the base SIDE; a way points back to the one it goes on from.
-    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    # A state is the last two letters, as two digits to the base SIDE.
+    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    settled: list[str] = []
     lower = token.lower()
     for k, c in enumerate(lower):
         options: list[tuple[str, int, float]] = []
@@ -140,8 +142,8 @@ def viterbi(token: str, model: np.ndarray) -> str:
             options.append(("", 0, REPEAT if longer else DOUBLE))
         elif not options or c in LEET:
             options.append(("", 0, ODD))
-        new: dict[int, tuple[float, tuple | None]] = {}
-        for state, (score, way) in states.items():
+        new: dict[int, tuple[float, str]] = {}
+        for state, (score, so_far) in states.items():
             for letter, i, price in options:
                 if i:
                     at = state * SIDE + i
@@ -149,14 +151,13 @@ def viterbi(token: str, model: np.ndarray) -> str:
                 else:
                     key, value = state, score - price
                 if key not in new or value > new[key][0]:
-                    new[key] = (value, (way, letter) if i else way)
+                    new[key] = (value, so_far + letter)
         states = new
-    way = max(states.items(), key=lambda x: x[1][0] + flat[x[0] * SIDE])[1][1]
-    out = []
-    while way:
-        way, letter = way
-        out.append(letter)
-    return "".join(reversed(out))
+        if k % SETTLE == SETTLE - 1:
+            # What all ways have in common is settled; so a long token isn't copied at every step.
+            settled.append(os.path.commonprefix([so_far for _, so_far in states.values()]))
+            states = {state: (score, so_far[len(settled[-1]) :]) for state, (score, so_far) in states.items()}
+    return "".join(settled) + max(states.items(), key=lambda x: x[1][0] + flat[x[0] * SIDE])[1][1]
 
 
 def touched(token: str) -> bool:
