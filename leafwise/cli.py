@@ -6,19 +6,21 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import json
 import os
 import sys
 import urllib.request
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import api
 from . import config as conf
 from .functions import columns as C
-from .operators import bench, judges, policy, report
+from .operators import bench, hosted, judges, policy, report
+from .plans.lineage import kept
 from .sources import corpus
 
 
@@ -43,31 +45,41 @@ def http_host(base_url: str, key: str | None, timeout: float | None):
     return call
 
 
-def _judge(name: str, key: str | None) -> judges.Judge:
-    judges.by_name(name, key)
-    if name != "heuristic":
-        raise RuntimeError(f"judge {name} needs a service; replay its answers with judges.settled")
-    return judges.Heuristic()
-
-
-def _bench(spark: SparkSession, args, key: str | None) -> int:
-    names, skipped = bench.judge_list(args.judge or [], judges.registry(key))
+def _bench(spark: SparkSession, args) -> int:
+    ready = hosted.from_environment(dict(os.environ), base_url=args.judge_url, key=args.judge_key)
+    names, skipped = bench.judge_list(args.judge or [], judges.registry("ready" if ready else None))
     manifest = corpus.load_manifest(spark, args.corpus)
     found, failures = corpus.with_contents(manifest, corpus.read_files(spark, args.files or str(Path(args.corpus).parent)))
     docs = found.withColumn("doc_id", F.col("seq").cast("long"))
-    classified = api.classify(docs.select("doc_id", "content"))
-    wrong = bench.count_mismatch(docs, classified)
-    failed = failures.unionByName(docs.join(wrong, "doc_id").select(F.col("label").alias("document"), F.lit("page count differs").alias("error")))
-    docs = bench.exclude(docs, wrong)
-    pages = classified.select("doc_id", "page_count", "pages_needing_ocr").join(docs.select("doc_id"), "doc_id")
-    spine = pages.where("page_count > 0").select("doc_id", "pages_needing_ocr", F.explode(C.all_pages(F.col("page_count"))).alias("page"))
-    verdicts = spine.select(F.lit(bench.BASELINE).alias("judge"), "doc_id", "page", F.array_contains("pages_needing_ocr", F.col("page")).alias("needs_ocr"), F.lit(1.0).cast("float").alias("confidence"))
+    verdicts, times, usage, wrong = [], [], [spark.createDataFrame([], "judge string, input_tokens long, output_tokens long")], []
+    for name in names:
+        runs = []
+        for run_no in range(args.repeat):
+            judge = hosted.by_name(name, ready)
+            classified, told = (kept(df, "bench") for df in api.judged(docs.select("doc_id", "content"), None, judge))
+            ms = classified.select("doc_id", F.col("classify_ms").alias("ms"))
+            if isinstance(judge, hosted.Hosted):
+                calls = judge.usage()
+                spent = calls.groupBy("doc_id").agg(F.sum("elapsed_ms").alias("call_ms"))
+                ms = ms.join(spent, "doc_id", "left").select("doc_id", (F.col("ms") + F.coalesce("call_ms", F.lit(0))).alias("ms"))
+            runs.append(ms.select(F.lit(name).alias("judge"), "doc_id", F.lit(run_no).alias("run_no"), "ms", F.lit(run_no).alias("verdict")))
+        # Verdicts and calls are those of the last run, times the medians of all.
+        if isinstance(judge, hosted.Hosted):
+            usage.append(judge.usage().select("judge", "input_tokens", "output_tokens"))
+        times.append(bench.repeats(functools.reduce(DataFrame.unionByName, runs), "judge", "doc_id").drop("verdict"))
+        verdicts.append(told.select(F.lit(name).alias("judge"), "doc_id", "page", "needs_ocr", "confidence"))
+        wrong.append(bench.count_mismatch(docs, classified).select("doc_id", F.lit("page count differs").alias("error"), F.lit(None).cast("string").alias("judge")))
+        wrong.append(classified.where("failed").select("doc_id", F.lit("no verdict for each page").alias("error"), F.lit(name).alias("judge")))
+    wrong, *rest = (functools.reduce(DataFrame.unionByName, x) for x in (wrong, verdicts, times, usage))
+    wrong = kept(wrong.groupBy("doc_id").agg(F.min(F.struct("error", "judge")).alias("e")), "bench-wrong")
+    lost = [r.asDict() for r in failures.withColumn("judge", F.lit(None).cast("string")).unionByName(docs.join(wrong, "doc_id").select(F.col("label").alias("document"), "e.error", "e.judge")).collect()]
+    total, docs = manifest.count(), bench.exclude(docs, wrong)
+    good = docs.select("doc_id")
+    verdicts, times, usage = rest[0].join(good, "doc_id"), rest[1].join(good, "doc_id"), rest[2]
     truth = docs.select("doc_id", F.explode("needs_ocr").alias("page"))
-    times = classified.join(docs.select("doc_id"), "doc_id").select(F.lit(bench.BASELINE).alias("judge"), "doc_id", F.col("classify_ms").alias("ms"))
-    usage = spark.createDataFrame([], "judge string, input_tokens long, output_tokens long")
     got = report.rows(report.relations(verdicts, docs, truth, times, usage, price=args.cost_per_page, per_million=args.cost_per_million_input_tokens))
-    lost = [r.asDict() for r in failed.collect()]
-    print(corpus.write_report({"judges": names, "skipped": skipped, "failures": lost, **got}, args.out, args.json, report.render(got, skipped, lost)))
+    head = {"corpus": args.corpus, "documents": total, "scored": docs.count(), "repeat": args.repeat, "cost_per_page": args.cost_per_page, "cost_per_million_input_tokens": args.cost_per_million_input_tokens}
+    print(corpus.write_report({**head, "judges": names, "skipped": skipped, "failures": lost, **got}, args.out, args.json, report.render(got, skipped, lost, head)))
     return int(bool(lost))
 
 
@@ -86,7 +98,12 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--api-key")
         p.add_argument("--default-model")
         p.add_argument("--split-subset", action="store_true")
+        p.add_argument("--judge-url")
+        p.add_argument("--judge-key")
     p = sub.add_parser("bench")
+    p.add_argument("--repeat", type=int, default=1)
+    p.add_argument("--judge-url")
+    p.add_argument("--judge-key")
     p.add_argument("--corpus", required=True)
     p.add_argument("--files")
     p.add_argument("--judge", action="append")
@@ -103,9 +120,10 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = session()
     if args.command == "bench":
-        return _bench(spark, args, key)
+        return _bench(spark, args)
     cfg = conf.load(args.config)
-    judge = _judge(args.judge, key)  # before any call that costs money
+    # Before any call that costs money: an unknown judge, or one that can't be used here, is an error.
+    judge = hosted.by_name(args.judge, hosted.from_environment(dict(os.environ), base_url=args.judge_url, key=args.judge_key))
     files = api.from_paths(spark, args.files)
     content = files.select("doc_id", "content")
     if args.command == "classify":
@@ -120,8 +138,9 @@ def main(argv: list[str] | None = None) -> int:
             out = corpus.write_pages(out.select("doc_id", F.col("page").alias("index"), F.col("text").alias("markdown")), args.out)
     else:
         merged, docs = api.run(content, http_host(args.base_url, key, cfg.fetch_timeout_seconds), cfg, judge, args.default_model, split_subset=args.split_subset)
+        merged, docs = kept(merged, "pages"), kept(docs, "documents")
         if args.out:
-            merged.write.json(args.out)
+            api.payload(merged, docs).write.json(args.out)
         out = docs.join(merged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.min_by(C.preview(F.col("markdown")), "at").alias("preview")), "doc_id", "left")
     for row in out.orderBy("doc_id").toLocalIterator():
         values = row.asDict(recursive=True)

@@ -55,9 +55,14 @@ def finite_or_zero(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x).cast("float")
 
 
+def is_blank(x: Column) -> Column:
+    """Whether there is nothing but white space of any kind."""
+    return x.rlike(r"(?U)^\s*$")
+
+
 def blank_to_null(x: Column) -> Column:
-    """Null where there is nothing but space, else the value as it is."""
-    return F.when(F.trim(x) != "", x)
+    """Null where there is nothing but white space, else the value as it is."""
+    return F.when(~is_blank(x), x)
 
 
 def is_pdf(content: Column, magic: bytes = b"%PDF") -> Column:
@@ -79,8 +84,8 @@ def clip(text: Column, most: int, mark: str = "…") -> Column:
 
 
 def preview(markdown: Column, most: int = 80) -> Column:
-    """The first line that isn't blank, elided."""
-    lines = F.filter(F.transform(F.split(markdown, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    """The first line that isn't blank, as it stands, elided."""
+    lines = F.filter(F.transform(F.split(markdown, "\n"), lambda x: F.regexp_replace(x, r"\r$", "")), lambda x: ~is_blank(x))
     return F.coalesce(clip(F.get(lines, 0), most), F.lit("(empty)"))
 
 

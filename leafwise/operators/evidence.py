@@ -33,24 +33,36 @@ def skips_analysis(reported: Column, pages: Column, n: Column) -> Column:
     return C.label(reported, pages, n).isin("scanned", "image_based")
 
 
-def contract(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(doc_id, status): ok if a document has one verdict for each page and none besides, else what is wrong.
+def _status(judged: Column, n: Column) -> Column:
+    """What is wrong with the list of pages that have verdicts. Order of checks: their number, pages out of range, pages more than once."""
+    wrong = F.when(F.size(judged) != n, "wrong_count").when(F.exists(judged, lambda p: (p >= n) | (p < 0)), "out_of_range").when(F.size(F.array_distinct(judged)) != F.size(judged), "duplicate")
+    return F.coalesce(wrong, F.lit("ok"))
 
-    Order of checks: number of verdicts, pages out of range, pages more than once.
-    """
-    found = verdicts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page").alias("kinds"), F.max("page").alias("high"), F.min("page").alias("low"))
+
+def contract(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(doc_id, status): ok if a document has one verdict for each page and none besides, else what is wrong."""
+    found = verdicts.groupBy("doc_id").agg(F.collect_list("page").alias("judged"))
     joined = docs.select("doc_id", "page_count").join(found, "doc_id", "left")
-    n = F.coalesce("n", F.lit(0))
-    wrong = F.when(n != F.col("page_count"), "wrong_count").when((F.col("high") >= F.col("page_count")) | (F.col("low") < 0), "out_of_range").when(F.col("kinds") != n, "duplicate")
-    return joined.select("doc_id", F.coalesce(wrong, F.lit("ok")).alias("status"))
+    return joined.select("doc_id", _status(F.coalesce("judged", C.no_pages()), F.col("page_count")).alias("status"))
 
 
 def classify(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """docs with pages_needing_ocr, pdf_type and a finite confidence, from (doc_id, page, needs_ocr).
+    """docs with pages_needing_ocr, pdf_type, a finite confidence and contract (ok, or what is wrong with the verdicts), from (doc_id, page, needs_ocr).
 
     docs: doc_id, reported, page_count, confidence, and what is to be carried. Pages are gathered per document, whose number is bounded.
+    A document whose verdicts are not one a page keeps no page for OCR by them: its caller takes it for failed.
     """
-    pages = verdicts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("needs_ocr"), F.col("page")))).alias("pages_needing_ocr"))
-    joined = docs.join(pages, "doc_id", "left").withColumn("pages_needing_ocr", F.coalesce("pages_needing_ocr", C.no_pages()))
+    found = verdicts.groupBy("doc_id").agg(F.collect_list("page").alias("judged"), F.array_sort(F.collect_list(F.when(F.col("needs_ocr"), F.col("page")))).alias("pages_needing_ocr"))
+    joined = docs.join(found, "doc_id", "left").withColumn("contract", _status(F.coalesce("judged", C.no_pages()), F.col("page_count"))).drop("judged")
+    joined = joined.withColumn("pages_needing_ocr", F.when(F.col("contract") == "ok", F.coalesce("pages_needing_ocr", C.no_pages())).otherwise(C.no_pages()))
     joined = joined.withColumn("pdf_type", C.label(F.col("reported"), F.col("pages_needing_ocr"), F.col("page_count")))
     return joined.withColumn("confidence", C.finite_or_zero(F.col("confidence")))
+
+
+def with_defaults(classified: DataFrame) -> DataFrame:
+    """A classification from outside, with what callers leave out: pdf_type in any spelling; classify_ms 0, is_complex_layout and
+    has_encoding_issues false and ocr_reasons empty where the column is missing or null."""
+    out = classified.withColumn("pdf_type", C.loose_type(F.col("pdf_type"))) if "pdf_type" in classified.columns else classified
+    for name, value in (("classify_ms", F.lit(0.0)), ("is_complex_layout", F.lit(False)), ("has_encoding_issues", F.lit(False)), ("ocr_reasons", F.array().cast("array<struct<page:int,reasons:array<string>>>"))):
+        out = out.withColumn(name, F.coalesce(F.col(name), value) if name in classified.columns else value)
+    return out

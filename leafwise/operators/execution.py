@@ -17,11 +17,11 @@ RESULT = f"doc_id long, leg_no int, model string, pages array<{PAGE}>, pages_pro
 Host = Callable[[str, Any, list[int] | None], dict]
 
 
-def legs(planned: DataFrame) -> DataFrame:
-    """(doc_id, leg_no, model, tier, pages, is_local), a row per leg; bypassed documents get one leg on their model."""
+def legs(planned: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, leg_no, model, tier, pages, is_local, kept columns), a row per leg; bypassed documents get one leg on their model."""
     whole = F.array(F.struct(F.col("routed_model").alias("model"), F.col("tier").alias("tier"), F.lit(None).cast("array<int>").alias("pages")))
-    rows = planned.select("doc_id", F.posexplode(F.coalesce("legs", whole)).alias("leg_no", "leg"))
-    return rows.select("doc_id", "leg_no", "leg.model", "leg.tier", "leg.pages", (F.col("leg.tier") == "local").alias("is_local"))
+    rows = planned.select("doc_id", F.posexplode(F.coalesce("legs", whole)).alias("leg_no", "leg"), *keep)
+    return rows.select("doc_id", "leg_no", "leg.model", "leg.tier", "leg.pages", (F.col("leg.tier") == "local").alias("is_local"), *keep)
 
 
 def local(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -33,19 +33,22 @@ def local(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 def hosted(rows: DataFrame, contents: DataFrame, host: Host, *, split_subset: bool = False) -> DataFrame:
     """Results of other legs, by a host called in the tasks. contents: (doc_id, content). A failure becomes a row with an error. With split_subset
-    the host gets no page list (its input holds the leg's pages only), and its pages are numbered back."""
+    the host gets a file of the leg's pages and no page list, and its pages are numbered back."""
 
     def run(frames):
         import pandas as pd
 
+        from ..sources.pdf import split
+
         for pdf in frames:
             out = []
             for doc_id, leg_no, model, pages, content in zip(pdf["doc_id"], pdf["leg_no"], pdf["model"], pdf["pages"], pdf["content"], strict=True):
                 wanted = None if pages is None else [int(p) for p in pages]
                 try:
-                    got = host(model, content, None if split_subset else wanted)
+                    apart = split_subset and wanted is not None
+                    got = host(model, split(bytes(content), wanted), None) if apart else host(model, content, wanted)
                     found = [{"index": int(p.get("index", i) if p.get("index") is not None else i), "markdown": p.get("markdown") or ""} for i, p in enumerate(got.get("pages") or [])]
-                    if split_subset and wanted is not None:
+                    if apart:
                         found = [{**p, "index": wanted[p["index"]] if p["index"] < len(wanted) else p["index"]} for p in found]
                     processed = got.get("pages_processed")
                     out.append((doc_id, leg_no, (got.get("model") or "").strip() and got["model"] or model, found, len(found) if processed is None else processed, got.get("doc_size_bytes"), None))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
 from typing import Protocol
 
@@ -11,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..config import ASKED_CLEAR, ASKED_NEEDS, FAILURES, GATED_REASON, JUDGES
 
-# The limits of a judge's request.
+# The limits of a judge's request, when a page needs OCR, and when calls stop.
 MAX_TEXT_CHARS, MAX_PAGES, MAX_BYTES = 2_000, 50, 262_144
-THRESHOLD = 0.5
+THRESHOLD, FAILURES_IN_A_ROW, COOL_OFF_SECONDS, TIMEOUT_SECONDS = 0.5, 3, 30.0, 30.0
 # End of fixed values.
 
 
@@ -59,10 +61,6 @@ def ambiguous(evidence: DataFrame) -> DataFrame:
     return found.select("doc_id", (F.col("odd") | ((F.col("flags") > 0) & (F.col("flags") < F.col("n"))) | F.col("mute")).alias("is_ambiguous"))
 
 
-def relabel(verdicts: DataFrame, reason: str | Column) -> DataFrame:
-    return verdicts.withColumn("reason", F.lit(reason) if isinstance(reason, str) else reason)
-
-
 def failure_reason(kind: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, reason in FAILURES.items():
@@ -121,6 +119,17 @@ def state_json(pages: DataFrame) -> Column:
     return F.to_json(F.struct("page", "text", "text_chars", "text_truncated", *[c for c in ("inspector_flagged", "inspector_reasons", "has_tables", "has_columns", "has_encoding_issues") if c in pages.columns]), {"ignoreNullFields": "false"})
 
 
+def question_json(page: Column) -> Column:
+    """The question about one page as JSON; true means that it needs OCR."""
+    text = F.concat(F.lit("Does the page of the entry in state whose page is "), page.cast("string"), F.lit(" need OCR, because its text is missing or isn't what the page shows?"))
+    return F.to_json(F.struct(F.lit("noul").alias("type"), text.alias("instructions")))
+
+
+def wire_size(page: Column, state: Column) -> Column:
+    """Bytes of a page in a request: its state and its question."""
+    return F.octet_length(state.cast("binary")) + F.octet_length(question_json(page).cast("binary"))
+
+
 def chunk_ids(sizes: DataFrame, *, most_pages: int = MAX_PAGES, most_bytes: int = MAX_BYTES) -> DataFrame:
     """(doc_id, page, chunk) of (doc_id, page, size): greedy requests in page order, a new one at so many pages or bytes. A fold over the pages of
     a document, whose number is bounded; an oversized page is a request of its own."""
@@ -140,22 +149,74 @@ def request_bodies(states: DataFrame, model: str) -> DataFrame:
     """(doc_id, chunk, body) of (doc_id, page, chunk, question, state): model, states in page order, questions by key."""
     gathered = states.groupBy("doc_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("page", "state", "question"))).alias("p"))
     state = F.array_join(F.transform("p", lambda x: x["state"]), ",")
-    ask = lambda x: F.concat(F.lit('"'), x["question"], F.lit('":'), F.to_json(F.struct(F.lit("noul").alias("type"), F.concat(F.lit("Does the entry of state whose page is "), x["page"].cast("string"), F.lit(" need OCR?")).alias("instructions"))))
+    ask = lambda x: F.concat(F.lit('"'), x["question"], F.lit('":'), question_json(x["page"]))
     body = F.concat(F.to_json(F.struct(F.lit(model).alias("model"))), F.lit(""))
     body = F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(',"state":['), state, F.lit('],"questions":{'), F.array_join(F.transform("p", ask), ","), F.lit("}}"))
     return gathered.select("doc_id", "chunk", body.alias("body"))
 
 
-def ask(requests: DataFrame, client: Callable[[str], tuple[str | None, str | None]]) -> DataFrame:
-    """(doc_id, chunk, answer, failure): a client called once a request, in the tasks; it gives an answer's text or the kind of failure."""
+CALLS = "chunk int, answer string, failure string, elapsed_ms long, status int, input_tokens long, output_tokens long, sent boolean"
+
+
+def usable(answer: str, body: str) -> bool:
+    """Whether a response has a finite number for each question of its request."""
+    try:
+        answers = json.loads(answer)["answers"]
+        return all(answers[k]["type"] == "noul" and np.isfinite(float(answers[k]["noul"])) for k in json.loads(body)["questions"])
+    except (ValueError, KeyError, TypeError):
+        return False
+
+
+class Breaker:
+    """After so many failures in a row no call is made until the cool-off is over; limit 0 turns it off."""
+
+    def __init__(self, limit: int, cool_off: float, now: Callable[[], float] = time.monotonic):
+        self.limit, self.cool_off, self.now, self.run, self.opened = limit, cool_off, now, 0, None
+
+    def is_open(self) -> bool:
+        if self.opened is not None and self.now() - self.opened >= self.cool_off:
+            self.run, self.opened = 0, None
+        return self.opened is not None
+
+    def note(self, ok: bool) -> None:
+        self.run = 0 if ok else self.run + 1
+        self.opened = self.now() if 0 < self.limit <= self.run else None
+
+
+def ask(requests: DataFrame, client: Callable[[str], dict], *, limit: int = FAILURES_IN_A_ROW, cool_off: float = COOL_OFF_SECONDS) -> DataFrame:
+    """(doc_id, chunk, answer, failure, elapsed_ms, status, input_tokens, output_tokens, sent) of requests (doc_id, chunk, body): the client is called in
+    the tasks, a document's requests in order until the first that fails; those after it aren't sent and have no row. client(body) gives
+    answer or failure (timeout, http, protocol), and what is known of the call. Each task has a circuit breaker of its own; it is asked once a document."""
 
     def run(frames):
+        import pandas as pd
+
+        breaker, doc, lost = Breaker(limit, cool_off), None, False
         for pdf in frames:
-            found = [client(b) for b in pdf["body"]]
-            yield pdf[["doc_id", "chunk"]].assign(answer=[a for a, _ in found], failure=[f for _, f in found])
+            out = []
+            for doc_id, chunk, body in zip(pdf["doc_id"], pdf["chunk"], pdf["body"], strict=True):
+                if doc_id != doc:
+                    doc, lost = doc_id, breaker.is_open()
+                    if lost:
+                        out.append((doc_id, chunk, None, "breaker_open", None, None, None, None, False))
+                elif lost:
+                    continue
+                if lost:
+                    continue
+                got = client(body)
+                failure = got.get("failure")
+                breaker.note(failure is None)
+                if failure is None and not usable(got["answer"], body):
+                    failure = "protocol"
+                    breaker.note(False)
+                lost = failure is not None
+                out.append((doc_id, chunk, None if lost else got["answer"], failure, got.get("elapsed_ms"), got.get("status"), got.get("input_tokens"), got.get("output_tokens"), True))
+            frame = pd.DataFrame(out, columns=["doc_id", "chunk", "answer", "failure", "elapsed_ms", "status", "input_tokens", "output_tokens", "sent"])
+            yield frame.astype({c: "Int64" for c in ("elapsed_ms", "status", "input_tokens", "output_tokens")})
 
     kind = requests.schema["doc_id"].dataType.simpleString()
-    return requests.mapInPandas(run, f"doc_id {kind}, chunk int, answer string, failure string")
+    dealt = requests.select("doc_id", "chunk", "body").repartition("doc_id").sortWithinPartitions("doc_id", "chunk")
+    return dealt.mapInPandas(run, f"doc_id {kind}, {CALLS}")
 
 
 def breaker_log(calls: DataFrame, *, limit: int, cool_off_ms: int) -> DataFrame:

@@ -9,6 +9,7 @@ from ..config import ASKED_CLEAR, ASKED_NEEDS, FAILURES, GATED_REASON, JUDGES, V
 from ..functions import columns as C
 from ..operators import bench, evidence, execution, judges, policy, scoring
 from ..sources import adapters as A
+from .lineage import kept
 from .registry import query
 
 PRICE, PER_MILLION = 0.002, 0.042
@@ -130,6 +131,13 @@ def classify(spark, sf_dir):
     return out.select("doc_id", "source", "page_count", _s("pages_needing_ocr").alias("pages_needing_ocr"), "pdf_type", "confidence")
 
 
+@query("classification_defaults", """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'text_based' ELSE 'unknown' END AS pdf_type, CASE WHEN p_partkey % 3 = 0 THEN 1.5 ELSE 0.0 END::DOUBLE AS classify_ms, p_partkey % 5 = 0 AS is_complex_layout, false AS has_encoding_issues, 0 AS reasons FROM part""")
+def classification_defaults(spark, sf_dir):
+    k = F.col("p_partkey")
+    given = A.table(spark, sf_dir, "part").select(k, F.when(k % 2 == 0, "TextBased").otherwise("x").alias("pdf_type"), F.when(k % 3 == 0, 1.5).alias("classify_ms"), F.when(k % 5 == 0, True).alias("is_complex_layout"))
+    return evidence.with_defaults(given).select("p_partkey", "pdf_type", "classify_ms", "is_complex_layout", "has_encoding_issues", F.size("ocr_reasons").alias("reasons"))
+
+
 # --- judges
 
 
@@ -172,14 +180,19 @@ def fallback_relabel(spark, sf_dir):
     return judges.settled(A.line_evidence(spark, sf_dir), A.probabilities(spark, sf_dir))
 
 
+def _replayed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Evidence and a hosted judge's answers, written as those of a real run are: lineitem is read once for each."""
+    return kept(A.line_evidence(spark, sf_dir), "evidence"), kept(A.probabilities(spark, sf_dir), "answers")
+
+
 @query("gated_relabel", _settled_sql(True, False))
 def gated_relabel(spark, sf_dir):
-    return judges.settled(A.line_evidence(spark, sf_dir), A.probabilities(spark, sf_dir), gated=True)
+    return judges.settled(*_replayed(spark, sf_dir), gated=True)
 
 
 @query("strict_verdicts", _settled_sql(False, True))
 def strict_verdicts(spark, sf_dir):
-    return judges.settled(A.line_evidence(spark, sf_dir), A.probabilities(spark, sf_dir), strict=True)
+    return judges.settled(*_replayed(spark, sf_dir), strict=True)
 
 
 @query("fallback_counts", f"SELECT reason, count(*)::BIGINT AS pages FROM ({_settled_sql(True, False)}) v WHERE reason IN {FAILED_REASONS} GROUP BY reason")
@@ -222,13 +235,20 @@ def greedy_chunks(spark, sf_dir):
     return judges.chunk_ids(A.conversation_pages(spark, sf_dir).select("doc_id", "page", F.octet_length(F.col("text").cast("binary")).alias("size")), most_pages=3, most_bytes=1200)
 
 
-@query("request_chunks")
+@query("request_chunks", """WITH s AS (SELECT conv_id AS doc_id, turn, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS chunk FROM conversations)
+SELECT doc_id, chunk::INTEGER AS chunk, 'judge-model' AS model, string_agg('page_' || turn, ',' ORDER BY turn) AS questions,
+  md5(string_agg(concat_ws('|', turn::VARCHAR, substr(text, 1, 2000), length(text)::VARCHAR, CASE WHEN length(text) > 2000 THEN 'true' ELSE 'false' END), ';' ORDER BY turn)) AS digest, 'noul' AS kinds FROM s GROUP BY doc_id, chunk""")
 def request_chunks(spark, sf_dir):
     pages = judges.page_state(A.conversation_pages(spark, sf_dir))
     states = pages.select("doc_id", "page", "question", judges.state_json(pages).alias("state"))
-    chunks = judges.chunk_ids(states.select("doc_id", "page", (F.octet_length(F.col("state").cast("binary")) + 120).alias("size")))
+    chunks = judges.chunk_ids(states.select("doc_id", "page", judges.wire_size(F.col("page"), F.col("state")).alias("size")), most_pages=3)
     bodies = judges.request_bodies(states.join(chunks, ["doc_id", "page"]), "judge-model")
-    return bodies.select("doc_id", "chunk", F.octet_length(F.col("body").cast("binary")).cast("long").alias("bytes"), F.size(F.json_object_keys(F.get_json_object("body", "$.questions"))).alias("questions"))
+    seen = F.from_json("body", "model STRING, state ARRAY<STRUCT<page INT, text STRING, text_chars INT, text_truncated BOOLEAN>>, questions MAP<STRING, STRUCT<type STRING, instructions STRING>>")
+    b = bodies.select("doc_id", "chunk", seen.alias("b"))
+    asked = F.array_join(F.map_keys("b.questions"), ",")
+    texts = F.md5(F.array_join(F.transform("b.state", lambda x: F.concat_ws("|", x["page"].cast("string"), x["text"], x["text_chars"].cast("string"), x["text_truncated"].cast("string"))), ";").cast("binary"))
+    kinds = F.array_join(F.array_distinct(F.transform(F.map_values("b.questions"), lambda q: q["type"])), ",")
+    return b.select("doc_id", "chunk", "b.model", asked.alias("questions"), texts.alias("digest"), kinds.alias("kinds"))
 
 
 @query("breaker_state", f"""WITH RECURSIVE {A.EVENT_LOG.strip()},
@@ -317,9 +337,15 @@ def metadata_flat(spark, sf_dir):
     return m.select("doc_id", "kind", "metadata.tier", "metadata.reason", "metadata.pdf_type", "metadata.confidence", "metadata.page_count", _s("metadata.pages_needing_ocr").alias("pages_needing_ocr"), "metadata.routed_model", "metadata.split")
 
 
-@query("metadata_json")
+@query("metadata_json", f"""{DECIDE} SELECT doc_id, tier, why AS reason, CASE WHEN kind = 'route' THEN pdf_type END AS pdf_type, CASE WHEN kind = 'route' THEN confidence::VARCHAR::DOUBLE END AS confidence, CASE WHEN kind = 'route' THEN page_count END AS page_count,
+CASE WHEN kind = 'route' THEN {_j('flagged')} END AS pages_needing_ocr, routed_model, legs, split,
+CASE WHEN kind = 'route' THEN 'tier,reason,pdf_type,confidence,page_count,pages_needing_ocr,classify_ms,routed_model,legs,split' ELSE 'tier,reason,routed_model' END AS keys FROM dec""")
 def metadata_json(spark, sf_dir):
-    return policy.metadata(_decided(spark, sf_dir)).select("doc_id", policy.metadata_json(F.col("metadata")).alias("json"))
+    told = policy.metadata(_decided(spark, sf_dir)).select("doc_id", policy.metadata_json(F.col("metadata")).alias("json"))
+    leg = "ARRAY<STRUCT<model STRING, tier STRING, pages ARRAY<INT>>>"
+    m = F.from_json("json", f"tier STRING, reason STRING, pdf_type STRING, confidence DOUBLE, page_count INT, pages_needing_ocr ARRAY<INT>, routed_model STRING, legs {leg}, split BOOLEAN").alias("m")
+    m = told.select("doc_id", m, F.array_join(F.json_object_keys("json"), ",").alias("keys"))
+    return m.select("doc_id", "m.tier", "m.reason", "m.pdf_type", "m.confidence", "m.page_count", _s("m.pages_needing_ocr").alias("pages_needing_ocr"), "m.routed_model", _legs_text(F.col("m.legs")).alias("legs"), "m.split", "keys")
 
 
 # --- execution
@@ -343,13 +369,17 @@ def legs_exploded(spark, sf_dir):
 def _results(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Plans and the results of their legs, where a host is played by expressions: page i of document d reads d:i; every 9th document's OCR leg fails."""
     planned = _planned(spark, sf_dir)
-    rows = execution.legs(planned).join(planned.select("doc_id", "page_count"), "doc_id")
+    return planned, _done(planned)
+
+
+def _done(planned: DataFrame) -> DataFrame:
+    rows = execution.legs(planned, "page_count")
     all_ = F.coalesce("pages", C.all_pages(F.col("page_count")))
     fails = ~F.col("is_local") & (F.col("doc_id") % 9 == 0)
     pages = F.transform(F.reverse(all_), lambda p: F.struct(p.alias("index"), F.concat(F.col("doc_id").cast("string"), F.lit(":"), p.cast("string")).alias("markdown")))
     none = F.array().cast("array<struct<index:int,markdown:string>>")
     done = rows.select("doc_id", "leg_no", "model", F.when(fails, none).otherwise(pages).alias("pages"), F.when(fails, 0).otherwise(F.size(all_)).alias("pages_processed"), F.when(~F.col("is_local") & ~fails, (F.col("doc_id") % 1000)).alias("doc_size_bytes"), F.when(fails, F.concat(F.col("model"), F.lit(" is down"))).alias("error"))
-    return planned, done
+    return done
 
 
 def _retried(spark, sf_dir, planned: DataFrame, done: DataFrame) -> DataFrame:
@@ -374,7 +404,9 @@ def first_failure(spark, sf_dir):
 SELECT p.doc_id, CASE WHEN b.doc_id IS NOT NULL AND p.doc_id % 27 <> 0 THEN 'leg_failed' END AS fallback_reason, CASE WHEN b.doc_id IS NOT NULL AND p.doc_id % 27 <> 0 THEN 'retry-model' ELSE routed_model END AS routed_model,
   CASE WHEN b.doc_id IS NOT NULL AND p.doc_id % 27 = 0 THEN 'retry is down (after ' || first_error || ')' END AS error FROM plans p LEFT JOIN bad b ON b.doc_id = p.doc_id""")
 def leg_fallback(spark, sf_dir):
-    planned, done = _results(spark, sf_dir)
+    # As in a real run, plans and results of calls are written before they are used again.
+    planned = kept(_planned(spark, sf_dir).select("doc_id", "kind", "routed_model", "tier", "legs", "page_count"), "plans")
+    done = kept(_done(planned), "results")
     return execution.with_fallback(planned, done, _retried(spark, sf_dir, planned, done))[1]
 
 
@@ -413,7 +445,7 @@ def leg_timing(spark, sf_dir):
     return execution.leg_timing(rows, log).select("doc_id", "leg_no", "model", "elapsed_ms")
 
 
-@query("page_preview", """WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM documents)
+@query("page_preview", r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\r$', '')), lambda x: NOT regexp_matches(x, '^\s*$')) AS lines FROM documents)
 SELECT doc_id, CASE WHEN len(lines) = 0 THEN '(empty)' WHEN length(lines[1]) > 80 THEN substr(lines[1], 1, 80) || '…' ELSE lines[1] END AS preview FROM l""")
 def page_preview(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", C.preview(F.col("text")).alias("preview"))
@@ -432,10 +464,13 @@ def error_class(spark, sf_dir):
     return e.select("event_id", "kind", execution.error_class(F.col("kind"), F.col("inside")).alias("class"))
 
 
-@query("request_body")
+@query("request_body", """SELECT page_id, 'mistral-ocr' AS model, 'document_url' AS kind, md5(html) AS digest, CASE WHEN page_id % 2 = 0 THEN '0,2' END AS pages, CASE WHEN page_id % 2 = 0 THEN 'model,document,pages' ELSE 'model,document' END AS keys FROM pages""")
 def request_body(spark, sf_dir):
     p = A.table(spark, sf_dir, "pages").select("page_id", F.lit("mistral-ocr").alias("model"), F.col("html").cast("binary").alias("content"), F.when(F.col("page_id") % 2 == 0, F.array(F.lit(0), F.lit(2))).alias("pages"))
-    return p.select("page_id", execution.request_body(p).alias("body"))
+    seen = F.from_json("body", "model STRING, document STRUCT<type STRING, document_url STRING>, pages ARRAY<INT>")
+    b = p.select("page_id", execution.request_body(p).alias("body")).select("page_id", seen.alias("b"), F.array_join(F.json_object_keys("body"), ",").alias("keys"))
+    content = F.unbase64(F.regexp_extract("b.document.document_url", "^data:application/pdf;base64,(.*)$", 1))
+    return b.select("page_id", "b.model", F.col("b.document.type").alias("kind"), F.md5(content).alias("digest"), _s("b.pages").alias("pages"), "keys")
 
 
 @query("ocr_response", """WITH c AS (SELECT conv_id, count(*) AS n, conv_id % 3 AS k FROM conversations GROUP BY conv_id)
@@ -475,8 +510,14 @@ def _groups(spark, sf_dir) -> DataFrame:
 @query("confusion_by_doc", f"""{PAGES} SELECT doc_id, {COUNTS}, coalesce(string_agg(page, ',' ORDER BY page) FILTER (NOT flagged AND truly), '') AS missed_pages, coalesce(string_agg(page, ',' ORDER BY page) FILTER (flagged AND NOT truly), '') AS wasted_pages,
 bool_and(flagged = truly) AS route_exact FROM pgs GROUP BY doc_id""")
 def confusion_by_doc(spark, sf_dir):
-    verdicts = judges.Heuristic().judge(A.line_evidence(spark, sf_dir))
-    s = scoring.score_pages(verdicts, A.line_truth(spark, sf_dir))
+    s = _scored(spark, sf_dir).where("page_count > 0")
+    return s.select("doc_id", *scoring.COUNTS, _s("missed_pages").alias("missed_pages"), _s("wasted_pages").alias("wasted_pages"), "route_exact")
+
+
+@query("judge_confusion", f"""{PAGES}, {A.PROBABILITIES}, v AS (SELECT a.doc_id, a.page, least(greatest(a.probability::FLOAT, 0::FLOAT), 1::FLOAT) >= 0.5::FLOAT AS flagged, list_contains(d.truth, a.page) AS truly FROM ans a JOIN docs d ON d.doc_id = a.doc_id WHERE a.probability IS NOT NULL)
+SELECT doc_id, {COUNTS}, coalesce(string_agg(page, ',' ORDER BY page) FILTER (NOT flagged AND truly), '') AS missed_pages, coalesce(string_agg(page, ',' ORDER BY page) FILTER (flagged AND NOT truly), '') AS wasted_pages, bool_and(flagged = truly) AS route_exact FROM v GROUP BY doc_id""")
+def judge_confusion(spark, sf_dir):
+    s = scoring.score_pages(prob_verdicts(spark, sf_dir), A.line_truth(spark, sf_dir))
     return s.select("doc_id", *scoring.COUNTS, _s("missed_pages").alias("missed_pages"), _s("wasted_pages").alias("wasted_pages"), "route_exact")
 
 
@@ -616,7 +657,8 @@ def brier(spark, sf_dir):
     return scoring.brier(_judged(spark, sf_dir)).withColumn("brier", F.round("brier", 10))
 
 
-@query("brier_degenerate", f"{PAGES} SELECT count(*)::BIGINT AS verdicts, 1::BIGINT AS distinct_confidences, true AS degenerate, 1.0::FLOAT AS constant, NULL::DOUBLE AS brier FROM pgs")
+@query("brier_degenerate", f"""{PAGES}, v AS (SELECT (CASE WHEN page >= 0 THEN 1.0 END)::FLOAT AS c, flagged AS r FROM pgs)
+SELECT count(*)::BIGINT AS verdicts, count(DISTINCT c)::BIGINT AS distinct_confidences, count(DISTINCT c) < 2 AS degenerate, CASE WHEN count(DISTINCT c) = 1 THEN min(c) END AS constant, CASE WHEN count(DISTINCT c) > 1 THEN avg((c - r::INTEGER) ** 2) END AS brier FROM v""")
 def brier_degenerate(spark, sf_dir):
     verdicts = judges.Heuristic().judge(A.line_evidence(spark, sf_dir))
     return scoring.brier(verdicts.select("confidence", F.col("needs_ocr").alias("right")))
@@ -668,10 +710,10 @@ def sources_first_seen(spark, sf_dir):
     return bench.first_seen(A.table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("seq")))
 
 
-@query("synthetic_caveat", f"""{PAGES}, s AS (SELECT d.doc_id % 500 AS grp, count(p.page) AS pages, count(*) FILTER (p.flagged <> p.truly) AS wrong, count(DISTINCT d.doc_id) AS documents FROM docs d LEFT JOIN pgs p ON p.doc_id = d.doc_id GROUP BY 1)
+@query("synthetic_caveat", f"""{PAGES}, s AS (SELECT d.doc_id % 20000 AS grp, count(p.page) AS pages, count(*) FILTER (p.flagged <> p.truly) AS wrong, count(DISTINCT d.doc_id) AS documents FROM docs d LEFT JOIN pgs p ON p.doc_id = d.doc_id GROUP BY 1)
 SELECT 'heuristic' AS judge, 'Synthetic' AS source, grp, documents::BIGINT AS documents, pages::BIGINT AS pages FROM s WHERE wrong = 0 AND pages > 0 AND grp % 2 = 0""")
 def synthetic_caveat(spark, sf_dir):
-    s = _scored(spark, sf_dir).withColumn("grp", F.col("doc_id") % 500)
+    s = _scored(spark, sf_dir).withColumn("grp", F.col("doc_id") % 20000)
     g = scoring.add(s, "grp").withColumn("judge", F.lit("heuristic")).withColumn("source", F.when(F.col("grp") % 2 == 0, "Synthetic").otherwise("adversarial"))
     totals = scoring.with_totals(g)
     return totals.join(bench.synthetic_caveats(g).select("source").distinct(), "source", "left_semi").where("is_perfect AND pages > 0").select("judge", "source", "grp", "documents", "pages")
