@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import parts_of
 from .common import map_texts, share_of_ids, tidy, written
 
 
@@ -94,9 +95,11 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches):
         total = np.zeros(SIDE**3, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for i in range(0, len(text or ""), 4_000_000):
-                    total += trigram_counts(text[i : i + 4_000_000])
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            for a, b in parts_of(texts, 1_000_000):
+                together = "\n".join(texts[a:b])  # the end of a text ends its last word
+                for i in range(0, len(together), 4_000_000):
+                    total += trigram_counts(together[i : i + 4_000_000])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
@@ -222,12 +225,19 @@ class _Tokens(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+        #: How words with a telling feature may begin and end: what does neither tells nothing.
+        self.starts = {f.removesuffix("-")[: BEGINNINGS[0]] for f in model.told if f[0] != "-"}
+        self.ends = {f[1:] for f in model.told if f[0] == "-"}
 
     def __missing__(self, token: str) -> tuple[str, ...]:
         if len(self) > TOKENS_KEPT:
             self.clear()
-        told = self.model.told
-        found = tuple({f for said in readings(token, self.model.letters) for f in features(said) if f in told})
+        told, starts, ends = self.model.told, self.starts, self.ends
+        found = ()
+        for said in readings(token, self.model.letters):
+            for w in _WORDS.findall(said.lower()):
+                if w[: BEGINNINGS[0]] in starts or w[-ENDS[0] :] in ends:
+                    found = tuple({*found, *(f for f in features(w) if f in told)})
         self[token] = found
         return found
 

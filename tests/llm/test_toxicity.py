@@ -113,3 +113,8 @@ def test_regression_finds_weights_and_keeps_the_prior():
 
 def test_very_long_tokens(letters):
     assert len(toxicity.viterbi("st00pid1" * 25_000, letters)) > 100_000
+
+
+def test_texts_together_count_as_apart():
+    texts = ["the people", "", "reading, of", "é x\n\ny"]
+    assert (toxicity.trigram_counts("\n".join(texts)) == sum(toxicity.trigram_counts(t) for t in texts)).all()
