@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leafwise.llm import hosts
 
@@ -58,3 +59,12 @@ def test_distrust_goes_as_far_as_the_links(spark):
     assert {k: r.verdict for k, r in got.items()} == {i: "block" for i in range(13)}
     rank = [hosts.DAMPING**i for i in range(13)]
     assert [got[i].distrust for i in range(13)] == pytest.approx([x / sum(rank) for x in rank], rel=1e-5)
+
+
+def test_clashing_columns_long_pages_and_empty_tables(spark):
+    long = "<p>" + "x" * 3_000_000 + '<a href="http://bad.net/x">l</a>'
+    rows = [(1, "http://Deep.example.org/es/1", None, "a"), (2, "http://far.net/p?q", long, "b"), (2, "http://far.net/p?q", long, "b"), (3, None, "", None), (None, "no host", "<a href=//bad.net>", "c"), (4, "http://bad.net/", "", "d"), (5, "http://x.com/de/y", '<a href="http://far.net/">', "e")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string").withColumn("verdict", F.lit("clash")).withColumn("rank", F.lit(1)).withColumn("kind", F.lit(1))
+    got = sorted((r.page_id or 0, r.host, r.path, r.rule, r.verdict) for r in hosts.judge(pages).collect())
+    assert got == [(0, "", "", None, "allow"), (1, "deep.example.org", "/es/1", "example.org/es/", "block"), (2, "far.net", "/p", None, "allow"), (2, "far.net", "/p", None, "allow"), (3, "", "", None, "allow"), (4, "bad.net", "/", None, "allow"), (5, "x.com", "/de/y", "com/de/", "block")]
+    assert hosts.judge(pages.limit(0)).count() == 0
