@@ -32,7 +32,7 @@ from .common import WORD, forget, tidy, unused, written
 #: Counters of the count sketch, as powers of 2: so few and so many, and between them one for so many characters.
 FEWEST, MOST, CHARS_A_COUNTER, CHUNK = 20, 24, 768, 1 << 16
 NODES_KEPT = 500_000
-CHARS_AT_ONCE, BYTES_AT_ONCE = 2_000_000, 4 << 20
+CHARS_AT_ONCE, BYTES_AT_ONCE = 1_000_000, 4 << 20
 TILE = 2_048
 #: Tasks whose counters are added in one bundle, bundles in a larger one, and so on, so many times.
 FAN, LEVELS = 16, 3
