@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import parts_of
-from .common import WORD, forget, tidy, unused, written
+from .common import WORD, forget, release, tidy, unused, written
 
 #: Counters of the count sketch, as powers of 2: so few and so many, and between them one for so many characters.
 FEWEST, MOST, CHARS_A_COUNTER, CHUNK = 20, 24, 768, 1 << 16
@@ -335,6 +335,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, m
 
     links = written(dealt.mapInArrow(tidy(run), "a long, b long"), "jaccard-links")
     forget(pairs, whole)
+    release(docs.sparkSession)
     return links
 
 
