@@ -69,12 +69,6 @@ def forget(*tables: DataFrame) -> None:
         _delete(table.sparkSession, table.written_to)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what has been written by now: it does so when the driver collects their handles."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def discard(spark: SparkSession) -> None:
     """Delete every table of this application, once its results have been read or stored."""
     _delete(spark, own_dir(spark))
