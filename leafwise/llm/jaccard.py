@@ -23,7 +23,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import parts_of
@@ -38,6 +38,7 @@ TILE = 2_048
 FAN, LEVELS = 16, 3
 #: Candidates of a centre that one task verifies.
 SPREAD = 64
+PLACE = ["id", "missing", "text_mark"]
 #: Rounds with a middle node for centre, after the first and before all pairs across components.
 STARS = 2
 
@@ -301,18 +302,23 @@ def _tested(pairs: DataFrame, nodes: DataFrame, measure: Measure) -> DataFrame:
     return sized.mapInArrow(tidy(run), "a long, b long")
 
 
+def _place(doc_id: str, mark: str) -> list[Column]:
+    """PLACE, the key of a text by its id and hash, with no nulls in it."""
+    return [F.coalesce(F.col(doc_id), F.lit(0)).alias("id"), F.col(doc_id).isNull().alias("missing"), F.col(mark).alias("text_mark")]
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, measure: Measure) -> DataFrame:
-    """Those of the pairs (a, b) that are linked, by their whole texts."""
+    """Those of the pairs (a, b) that are linked, by their whole texts. docs: (doc_id, mark, text), no id and mark twice."""
     import pyarrow as pa
 
     pairs = written(pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SPREAD))), "jaccard-candidates")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("any.doc_id").alias("id"), F.col("any.mark").alias("text_mark"))
-    same = docs["doc_id"].eqNullSafe(used["id"]) & (docs["mark"] == used["text_mark"])
-    whole = written(docs.join(used.hint("shuffle_hash"), same).select("node", "text"), "jaccard-texts")
-    texts = whole.groupBy("node").agg(F.first("text").alias("text"))
-    centres = pairs.select("a", "part").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
-    others = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "text")
-    dealt = centres.unionByName(others)
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    others = pairs.select("a", "part", "b", F.col("b").alias("node"))
+    centres = pairs.select("a", "part").distinct().select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
+    wanted = centres.unionByName(others).join(nodes.select("node", *_place("any.doc_id", "any.mark")), "node").drop("node")
+    # The only columns that travel beside the texts: each text goes to its own place once, and from there to its centres.
+    dealt = docs.select(*_place("doc_id", "mark"), "text").join(wanted.hint("shuffle_hash"), PLACE).select("a", "part", "b", "text")
     dealt = dealt.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -334,7 +340,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, m
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
     links = written(dealt.mapInArrow(tidy(run), "a long, b long"), "jaccard-links")
-    forget(pairs, whole)
+    forget(pairs)
     return links
 
 
@@ -446,12 +452,14 @@ def classes(docs: DataFrame, *, width: int = 5, part: int = 80, whole: int = 100
             break
     counts = _total_counts(prepared.where("chunk IS NOT NULL").select("chunk", "mark", "counts"), counters)
     filed = _filed(docs, counts, width, measure, seed)
+    # Rows that repeat id and text would each come with every candidate of their node.
+    single = docs if slim.groupBy("doc_id", "mark").count().where("count > 1").isEmpty() else docs.dropDuplicates(["doc_id", "mark"])
     group = Window.partitionBy("key")
     centred = filed.withColumn("centre", F.min("node").over(group)).withColumn("last", F.max("node").over(group))
     shared = written(centred.where("centre <> last").select("key", "node", "centre"), "jaccard-groups")
     star = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     tried = star = written(star, "jaccard-star")
-    links = _verified(_tested(star, nodes, measure), nodes, docs, width, measure)
+    links = _verified(_tested(star, nodes, measure), nodes, single, width, measure)
     labels = written(components(links), "jaccard-labels")
     for _ in range(STARS):
         rest = written(_unsettled(shared, labels), "jaccard-rest")
@@ -462,7 +470,7 @@ def classes(docs: DataFrame, *, width: int = 5, part: int = 80, whole: int = 100
         star = rest.join(middle, "key").where("label <> a_label").select("a", F.col("node").alias("b")).distinct()
         star = written(_tested(star, nodes, measure).join(tried, ["a", "b"], "left_anti"), "jaccard-star")
         forget(rest)
-        more = _verified(star, nodes, docs, width, measure)
+        more = _verified(star, nodes, single, width, measure)
         tried = tried.union(star)
         if more.isEmpty():
             break
@@ -470,7 +478,7 @@ def classes(docs: DataFrame, *, width: int = 5, part: int = 80, whole: int = 100
         labels = written(components(links), "jaccard-labels")
     across = _across(_unsettled(shared, labels), nodes, measure).distinct()
     both = tried.union(tried.select("b", "a"))
-    more = _verified(across.join(both, ["a", "b"], "left_anti"), nodes, docs, width, measure)
+    more = _verified(across.join(both, ["a", "b"], "left_anti"), nodes, single, width, measure)
     labels = written(components(links.union(more)), "jaccard-labels") if not more.isEmpty() else labels
     best = labels.join(nodes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("least"))
     reach = labels.join(best, "label").select("node", "least", "label")

@@ -58,6 +58,19 @@ def test_components_equal_brute_force(spark, seed, width, part):
     assert sorted(got, key=repr) == sorted(brute(rows, width, part, 100), key=repr)
 
 
+def test_rows_that_repeat_id_and_text(spark, monkeypatch):
+    """Such rows send their text to a candidate once; ids 0 and null are told apart."""
+    long, sent = [f"w{i}" for i in range(80)], []
+    near, other = " ".join([*long[:-1], "end"]), " ".join(f"v{i}" for i in range(80))
+    rows = [(None, " ".join(long))] * 40 + [(0, near)] * 40 + [(5, near)] + [(0, other), (9, other + " z"), (None, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plain = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, nodes, docs, *more: sent.append(docs.groupBy("doc_id", "mark").count().where("count > 1").count()) or plain(pairs, nodes, docs, *more))
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(docs, width=4, part=85).collect()]
+    assert sorted(got, key=repr) == sorted(brute(rows, 4, 85, 100), key=repr)
+    assert sent and not any(sent)
+
+
 def test_one_large_group_of_near_copies(spark):
     draw = random.Random(5)
     base = [f"x{draw.randrange(10**5)}" for _ in range(150)]
