@@ -63,22 +63,25 @@ def with_fallback(planned: DataFrame, results: DataFrame, retried: DataFrame) ->
     """(results, documents): of documents with a failed leg, their whole-document retry takes the place of all legs.
 
     retried: results of such documents on the fallback model. documents: doc_id, fallback_reason, routed_model, error (if the retry failed too). A bypass has
-    no retry: leave its documents out of retried.
+    no retry: leave its documents out of retried. The tables have a row per document or more and are written compressed, from which Spark takes them
+    for small; so their joins are merged and never broadcast.
     """
-    failed = results.where("error IS NOT NULL").groupBy("doc_id").agg(F.min_by("error", "leg_no").alias("first_error"))
+    failed = results.where("error IS NOT NULL").groupBy("doc_id").agg(F.min_by("error", "leg_no").alias("first_error")).hint("merge")
     kept = results.join(failed, "doc_id", "left_anti").unionByName(retried.where("error IS NULL").join(failed.select("doc_id"), "doc_id", "left_semi"))
-    second = retried.select("doc_id", F.col("model").alias("second_model"), F.col("error").alias("second_error"), F.lit(True).alias("tried"))
+    second = retried.select("doc_id", F.col("model").alias("second_model"), F.col("error").alias("second_error"), F.lit(True).alias("tried")).hint("merge")
     docs = planned.select("doc_id", "routed_model").join(failed, "doc_id", "left").join(second, "doc_id", "left")
     saved = F.col("first_error").isNotNull() & F.coalesce("tried", F.lit(False)) & F.col("second_error").isNull()
     lost = F.when(F.col("first_error").isNotNull() & ~saved, F.concat(F.coalesce("second_error", F.lit("no retry")), F.lit(" (after "), F.col("first_error"), F.lit(")")))
     return kept, docs.select("doc_id", F.when(saved, "leg_failed").alias("fallback_reason"), F.when(saved, F.col("second_model")).otherwise(F.col("routed_model")).alias("routed_model"), lost.alias("error"))
 
 
-def needs_retry(planned: DataFrame, results: DataFrame, cfg: Config, default_model: str | None = None) -> DataFrame:
-    """Legs for the retry: the whole document on the default model, unless that is blank, else on the standard one; only for routed documents."""
-    failed = results.where("error IS NOT NULL").select("doc_id").distinct().join(planned.where("kind = 'route'").select("doc_id"), "doc_id", "left_semi")
+def needs_retry(planned: DataFrame, results: DataFrame, cfg: Config, default_model: str | None = None, *keep: str) -> DataFrame:
+    """Legs for the retry, with kept columns of planned: the whole document on the default model, unless that is blank, else on the standard one; only for
+    routed documents. The join is merged, as in with_fallback."""
+    routed = planned.where("kind = 'route'").select("doc_id", *keep).hint("merge")
+    failed = results.where("error IS NOT NULL").select("doc_id").distinct().join(routed, "doc_id", "inner" if keep else "left_semi")
     model = default_model if default_model and default_model.strip() else cfg.tiers.standard
-    return failed.select("doc_id", F.lit(0).alias("leg_no"), F.lit(model).alias("model"), F.lit("standard").alias("tier"), F.lit(None).cast("array<int>").alias("pages"), F.lit(False).alias("is_local"))
+    return failed.select("doc_id", F.lit(0).alias("leg_no"), F.lit(model).alias("model"), F.lit("standard").alias("tier"), F.lit(None).cast("array<int>").alias("pages"), F.lit(False).alias("is_local"), *keep)
 
 
 def remap(index: Column, pages: Column) -> Column:

@@ -384,7 +384,7 @@ def _done(planned: DataFrame) -> DataFrame:
 
 def _retried(spark, sf_dir, planned: DataFrame, done: DataFrame) -> DataFrame:
     """The retry: fails again for every 27th document."""
-    again = execution.needs_retry(planned, done, EXEC, "retry-model").join(planned.select("doc_id", "page_count"), "doc_id")
+    again = execution.needs_retry(planned, done, EXEC, "retry-model", "page_count")
     fails = F.col("doc_id") % 27 == 0
     pages = F.transform(C.all_pages(F.col("page_count")), lambda p: F.struct(p.alias("index"), F.concat(F.lit("again "), p.cast("string")).alias("markdown")))
     none = F.array().cast("array<struct<index:int,markdown:string>>")

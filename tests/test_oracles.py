@@ -39,3 +39,12 @@ def test_query(spark, sql, name):
     at = [want.columns.index(c) for c in got.columns]
     key = lambda r: repr(tuple(map(plain, r)))
     assert sorted(map(key, rows)) == sorted(key([r[i] for i in at]) for r in want.fetchall())
+
+
+def test_fallback_without_broadcast(spark):
+    """At 9 million documents a broadcast of their ids doesn't fit a driver of 750 MB."""
+    df = QUERIES["leg_fallback"](spark, DATA)
+    assert df.count() == spark.read.parquet(f"{DATA}/orders.parquet").count()
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 3 and "Broadcast" not in plan

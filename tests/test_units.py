@@ -165,3 +165,31 @@ def test_text_damage():
     lines = fixtures.body_lines("a", 0, 5)
     assert lines == fixtures.body_lines("a", 0, 5) and len(lines) == 5 and all(len(x) <= 72 for x in lines)
     assert fixtures.garble(lines, "s") != lines and fixtures.wrap(["aa", "bb", "c" * 9], 5) == ["aa bb", "c" * 9]
+
+
+def test_retries_are_joined_without_broadcast(spark, tmp_path):
+    """Compressed, a table of millions of ids looks small enough to be broadcast, and then fills the driver."""
+
+    def stored(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    def run(df):
+        return sorted(map(tuple, df.collect()), key=str), df._jdf.queryExecution().executedPlan().toString()
+
+    planned = stored(spark.createDataFrame([(1, "route", "ocr", 4), (2, "route", "ocr", 5), (3, "route", "ocr", 6), (4, "bypass", "own", 7)], "doc_id long, kind string, routed_model string, page_count int"), "planned")
+    page, result = [(0, "x")], "doc_id long, leg_no int, model string, pages array<struct<index:int,markdown:string>>, pages_processed int, doc_size_bytes long, error string"
+    rows = [(1, 0, "local", page, 1, None, None), (1, 1, "ocr", [], 0, None, "down"), (2, 0, "ocr", page, 1, 9, None), (3, 1, "ocr", [], 0, None, "late"), (3, 0, "ocr", [], 0, None, "first"), (4, 0, "own", [], 0, None, "gone")]
+    results = stored(spark.createDataFrame(rows, result), "results")
+    assert "BroadcastHashJoin" in run(results.join(planned, "doc_id"))[1]
+    again = execution.needs_retry(planned, results, conf.Config(), "backup", "page_count")
+    got, plan = run(again)
+    assert got == [(1, 0, "backup", "standard", None, False, 4), (3, 0, "backup", "standard", None, False, 6)] and "Broadcast" not in plan
+    got, plan = run(execution.needs_retry(planned, results, conf.Config(), "backup"))
+    assert [r[0] for r in got] == [1, 3] and "Broadcast" not in plan
+    retried = stored(spark.createDataFrame([(1, 0, "backup", page, 1, None, None), (3, 0, "backup", [], 0, None, "again")], result), "retried")
+    merged, docs = execution.with_fallback(planned, results, retried)
+    got, plan = run(docs)
+    assert got == [(1, "leg_failed", "backup", None), (2, None, "ocr", None), (3, None, "ocr", "again (after first)"), (4, None, "own", "no retry (after gone)")] and "Broadcast" not in plan
+    got, plan = run(merged.select("doc_id", "model"))
+    assert got == [(1, "backup"), (2, "ocr")] and "Broadcast" not in plan
